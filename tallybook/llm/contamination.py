@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -98,15 +99,15 @@ class Items:
         return sorted({self.ids[k] for k in found})
 
 
-_CACHE: dict[int, Items] = {}
+_CACHE: dict[str, Items] = {}
 
 
-def _scanner(shared, window: int, budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scanner(shared, token: str, window: int, budget: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _CACHE.get(shared.id)
+        items = _CACHE.get(token)
         if items is None:
             _CACHE.clear()
-            items = _CACHE[shared.id] = Items(shared.value, window, budget)
+            items = _CACHE[token] = Items(shared.value, window, budget)
         for batch in batches:
             docs, leaked = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -129,7 +130,7 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, budget:
     for block in range(blocks):
         own = queries.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.collect()])  # at most about block_words words
-        passes.append(texts.mapInArrow(_scanner(shared, window, budget), "doc_id long, item_id long"))
+        passes.append(texts.mapInArrow(_scanner(shared, uuid.uuid4().hex, window, budget), "doc_id long, item_id long"))
     out = passes[0]
     for more in passes[1:]:
         out = out.unionByName(more)

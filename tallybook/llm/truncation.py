@@ -29,7 +29,8 @@ STRAY = " \t\n\r\x0b\x0c\x00\x01\x02\x03\x1a\x7f\u0085 ​﻿�|~^_*#\\<>"
 _MARK = r"(?i)(\.\.+|…|\[[a-z .]*\]|\((cont|more|continued|continues|truncated)[^)]*\)|--+|—|–|\+\+|>>)$"
 _CLOSED = r"[.!?][\"'”’»)\]]*$"
 _ABBREVIATED = r"(?i)(^|[\s(])(no|nos|vs|mr|mrs|ms|dr|st|hon|núm|sr|sra|u\.s|p)\.$"
-_OWN = r"(?i)^(https?://\S+|www\.\S+|\S+@\S+\.\w+|(\d+[.)]|[-*•–])\s+\S.*|(sub)?total\b.*\d.*|page \d+ of \d+|p[áa]gina \d+ de \d+|end of (record|document|file)|fin del (registro|documento)|(cc|bcc|encl?|attachments?|file|re|ref): ?\S.*|filed by \S.*|signed by \S.*|presentado por \S.*)$"
+_OWN = r"(?i)^(https?://\S+|www\.\S+|\S+@\S+\.\w+|(\d+[.)]|[-*•–])\s+\S.*|(sub)?total\b.*\d.*|page \d+ of \d+|p[áa]gina \d+ de \d+|end of (record|document|file)|fin del (registro|documento)|(cc|bcc|encl?|attachments?): ?\S.*|filed by \S.*|signed by \S.*|presentado por \S.*)$"
+_WRAPPED = r"(?i)^((sub)?total: ?(\$|usd )?[\d,.]+( dollars)?|page \d+ of \d+|p[áa]gina \d+ de \d+|end of record|(cc|filed by):? \S.{0,80})$"
 _NAME = r"^(?U)\p{Lu}[\w.'’-]*( (\p{Lu}[\w.'’-]*|de|del|la|van|von)){0,5}$"
 
 
@@ -45,9 +46,9 @@ def ending(text: Column) -> Column:
     last, before, third = _line(lines, 1), _line(lines, 2), _line(lines, 3)
     # hard-wrapped endings: an own line may itself be broken
     two, three = F.concat_ws(" ", before, last), F.concat_ws(" ", third, before, last)
-    own = last.rlike(_OWN) | (before.isNotNull() & two.rlike(_OWN)) | (third.isNotNull() & three.rlike(_OWN))
+    own = (last.rlike(_OWN) & (F.length(last) <= 160)) | (before.isNotNull() & two.rlike(_WRAPPED)) | (third.isNotNull() & three.rlike(_WRAPPED))
     fresh = before.isNull() | (before == "") | before.rlike(r"[.!?:,;][\"'”’»)\]]*$") | before.rlike(_OWN)
-    signed = (before.rlike(",$") & last.rlike(_NAME)) | (third.rlike(",$") & two.rlike(_NAME))
+    signed = (before.rlike(",$") & last.rlike(_NAME)) | (third.rlike(",$") & (two.rlike(_NAME) | last.rlike(_NAME)))
     bare = before.isNotNull() & before.rlike(_CLOSED) & last.rlike(_NAME) & (F.size(F.split(last, " ")) > 1)
     return (
         F.when(F.coalesce(core, F.lit("")) == "", F.lit(None).cast("string"))
