@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import components, contamination, fusion, tokenizer, truncation
+from tallybook.llm import addresses, components, contamination, fusion, name_matching, org_matching, tokenizer, truncation
 from tallybook.plans.stage import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.same_places(table(spark, d, "address"), table(spark, d, "ownership"), table(spark, d, "real_transaction_export_adams"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_matching.same_names(table(spark, d, "donor_er_view"), table(spark, d, "ownership"), table(spark, d, "real_transaction_export_adams"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components.person_groups(table(spark, d, "person_absorption"))
 
@@ -22,6 +30,15 @@ def p6_fused(spark: SparkSession, d: str) -> DataFrame:
     return fusion.survivors(table(spark, d, "person"), table(spark, d, "person_absorption"), preferred=False).select("group_id", "field", "value", F.round("posterior", 6).alias("posterior"))
 
 
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Matching pairs with their confidence."""
+    return org_matching.matches(table(spark, d, "organization"), table(spark, d, "address"), table(spark, d, "political_organization_527"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_matches(spark, d).filter("confidence >= 0.5").select("organization_id", "political_organization_527_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, d, "documents"))
 
@@ -38,7 +55,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p6_fused, p8_ids, p9_found, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p6_found, p6_fused, p7_found, p7_matches, p8_ids, p9_found, p10_found, p10_rates)}
 
 SQL = {
     "p5_found": """
