@@ -38,7 +38,7 @@ def jaro_winkler_of(a: str, b: str) -> float:
     if not left:
         return 0.0
     right = [y for y, t in zip(b, taken) if t]
-    m, swaps = len(left), sum(x != y for x, y in zip(left, right)) / 2
+    m, swaps = len(left), sum(x != y for x, y in zip(left, right)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     same = 0
     for x, y in zip(a[:4], b[:4]):
