@@ -33,13 +33,20 @@ def _shift(v: Column, level: int) -> Column:
     return -F.log(u) / F.lit(BETA)
 
 
-def _grow(edges: DataFrame, level: int) -> DataFrame:
-    """(v, center): clusters after some rounds of growth; ``edges`` has both directions."""
-    # a claim is (arrival time, centre); arrival = distance - shift, smallest first
-    claims = edges.select(F.col("src").alias("v")).distinct().select("v", F.struct((-_shift(F.col("v"), level)).alias("at"), F.col("v").alias("center")).alias("claim"))
+def _arcs(edges: DataFrame) -> DataFrame:
+    """(src, dst, step): both directions of each edge, and a loop of no length at each vertex."""
+    a, b = F.col("a"), F.col("b")
+    rows = F.array(*[F.struct(x.alias("src"), y.alias("dst"), F.lit(1.0 if n < 2 else 0.0).alias("step")) for n, (x, y) in enumerate(((a, b), (b, a), (a, a), (b, b)))])
+    return edges.select(F.explode(rows).alias("r")).select("r.*").groupBy("src", "dst").agg(F.min("step").alias("step"))
+
+
+def _grow(arcs: DataFrame, level: int) -> DataFrame:
+    """(v, center): clusters after some rounds of growth."""
+    # a claim is (arrival time, centre); arrival = distance - shift, smallest first; loops carry a vertex's own claim on
+    claims = arcs.filter("step = 0").select(F.col("src").alias("v"), F.struct((-_shift(F.col("src"), level)).alias("at"), F.col("src").alias("center")).alias("claim"))
     for _ in range(ROUNDS):
-        offered = edges.join(claims, F.col("src") == F.col("v")).select(F.col("dst").alias("v"), F.struct((F.col("claim.at") + 1.0).alias("at"), F.col("claim.center").alias("center")).alias("claim"))
-        claims = claims.unionByName(offered).groupBy("v").agg(F.min("claim").alias("claim"))
+        offered = arcs.join(claims, F.col("src") == F.col("v")).select(F.col("dst").alias("v"), F.struct((F.col("claim.at") + F.col("step")).alias("at"), F.col("claim.center").alias("center")).alias("claim"))
+        claims = offered.groupBy("v").agg(F.min("claim").alias("claim"))
     return claims.select("v", F.col("claim.center").alias("center"))
 
 
@@ -54,8 +61,7 @@ def groups(pairs: DataFrame) -> DataFrame:
     edges = materialize(pairs.select("a", "b"), "links")
     levels: list[DataFrame] = []
     for level in range(MAX_LEVELS):
-        both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst")))
-        assigned = materialize(_grow(both, level), "clusters")
+        assigned = materialize(_grow(materialize(_arcs(edges), "arcs"), level), "clusters")
         levels.append(assigned)
         ca, cb = assigned.select(F.col("v").alias("a"), F.col("center").alias("ca")), assigned.select(F.col("v").alias("b"), F.col("center").alias("cb"))
         across = edges.join(ca, "a").join(cb, "b").filter("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
