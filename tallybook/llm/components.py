@@ -24,7 +24,7 @@ from tallybook.functions.text import blank_to_null
 from tallybook.plans.stage import materialize
 
 #: Rate of the exponential shifts; rounds of growth per level; levels before giving up.
-BETA, ROUNDS, MAX_LEVELS = 0.7, 3, 60
+BETA, ROUNDS, MAX_LEVELS = 0.1, 3, 60
 
 
 def _shift(v: Column, level: int) -> Column:
