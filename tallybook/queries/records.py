@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallybook.functions import finance as X
-from tallybook.functions.text import utc_day
+from tallybook.functions.text import strip, utc_day
 from tallybook.operators import linkage, provenance, similarity
 from tallybook.plans.stage import table
 from tallybook.queries.registry import Catalogue
@@ -176,6 +176,31 @@ def fill_missing_by_priority(spark: SparkSession, d: str) -> DataFrame:
     return j.select("id", F.coalesce(own, "c").alias("city"), F.when(own.isNotNull(), "donor").when(F.col("c").isNotNull(), "owner").otherwise("none").alias("origin"))
 
 
+_DATED = ("DEED_DATE", "RcvDate", "receipt_date", "Date Occured", "Filed On", "Second Notice Date")
+_DATED_SQL = ", ".join(f"'{c}'" for c in _DATED)
+
+
+@C.add(f"""WITH f AS (SELECT unnest(map_keys(raw_fields)) AS k, unnest(map_values(raw_fields)) AS v FROM source_record),
+p AS (SELECT k, CAST(try_strptime(trim(v, ' ' || chr(9) || chr(10) || chr(13)), ['%Y-%m-%d', '%m/%d/%Y', '%d-%b-%y']) AS DATE) AS day FROM f WHERE k IN ({_DATED_SQL}))
+SELECT k AS field, count(*) AS n, count(day) AS parsed, count(*) FILTER (WHERE day BETWEEN DATE '1970-01-01' AND DATE '2050-12-31') AS reliable, min(day) AS first_day, max(day) AS last_day FROM p GROUP BY 1""")
+def dates_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Date cascade over the notations of the feeds, with the window of reliable dates."""
+    f = table(spark, d, "source_record").select(F.explode("raw_fields").alias("field", "v")).filter(F.col("field").isin(*_DATED))
+    day = F.coalesce(*[F.try_to_timestamp(strip(F.col("v")), F.lit(x)) for x in ("yyyy-MM-dd", "MM/dd/yyyy", "dd-MMM-yy")]).cast("date")
+    p = f.select("field", day.alias("day"))
+    good = F.col("day").between(F.to_date(F.lit("1970-01-01")), F.to_date(F.lit("2050-12-31")))
+    return p.groupBy("field").agg(F.count("*").alias("n"), F.count("day").alias("parsed"), F.count(F.when(good, 1)).alias("reliable"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
+@C.add(f"""WITH {TX}, e AS (SELECT regexp_replace(trim(regexp_replace(regexp_replace(upper(employer), '[^A-Z0-9&]', ' ', 'g'), ' +', ' ', 'g'), ' '), '\\bL L C\\b', 'LLC', 'g') AS v FROM tx WHERE employer IS NOT NULL)
+SELECT regexp_replace(v, ' (INC|LLC|CORP|CORPORATION|CO|COMPANY|LTD|LLP|LP)$', '') AS employer, count(*) AS n FROM e WHERE v NOT IN ('', 'N A', 'NA', 'NONE', 'UNKNOWN', 'REQUESTED', 'INFORMATION REQUESTED', 'BEST EFFORTS') GROUP BY 1""")
+def employers_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Employers without punctuation and with one legal suffix dropped; placeholders are no employers."""
+    v = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(F.upper("employer"), "[^A-Z0-9&]", " "), " +", " ")), r"\bL L C\b", "LLC")
+    e = transactions(spark, d).filter("employer is not null").select(v.alias("v")).filter(~F.col("v").isin("", "N A", "NA", "NONE", "UNKNOWN", "REQUESTED", "INFORMATION REQUESTED", "BEST EFFORTS"))
+    return e.groupBy(F.regexp_replace("v", " (INC|LLC|CORP|CORPORATION|CO|COMPANY|LTD|LLP|LP)$", "").alias("employer")).agg(F.count("*").alias("n"))
+
+
 # ------------------------------------------------------------- quality
 
 _NULLS = ("name", "employer", "zip5", "amount", "day")
