@@ -12,22 +12,37 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tallybook.plans.stage import materialize
 
 #: Prior of a match, turns of expectation maximisation, floor of probabilities (documented defaults).
 PRIOR, TURNS, FLOOR = 0.01, 20, 1e-4
+#: Rows of a part of a hot block.
+BLOCK = 250
 
 
 def blocked_pairs(rows: DataFrame, rules: dict[str, list[str]], rid: str = "id") -> DataFrame:
-    """(l, r, rule): pairs that agree on all columns of a rule, with the first rule that made them."""
+    """(l, r, rule, rules, a_*, b_*): pairs that agree on all columns of a rule, once, with the first rule that made them.
+
+    ``rid`` is unique. The columns of both sides come along, so earlier rules are read
+    from the pair itself and pairs are never shuffled. Blocks of more than ``BLOCK``
+    rows are split over several tasks: one side into parts, the other sent to each part.
+    """
     made = []
-    for n, (name, columns) in enumerate(rules.items()):
-        side = rows.select(F.col(rid), *columns).na.drop(subset=columns)
-        a, b = side.select(F.col(rid).alias("l"), *columns), side.select(F.col(rid).alias("r"), *columns)
-        made.append(a.join(b, columns).filter("l < r").select("l", "r", F.lit(n).alias("n"), F.lit(name).alias("rule")))
-    all_ = reduce(lambda x, y: x.unionByName(y), made)
-    return all_.groupBy("l", "r").agg(F.min(F.struct("n", "rule"))["rule"].alias("rule"), F.array_sort(F.collect_set("rule")).alias("rules"))
+    side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in df.columns])
+    agree = lambda columns: reduce(lambda x, y: x & y, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in columns])
+    all_rules = F.array_sort(F.array_compact(F.array(*[F.when(agree(columns), name) for name, columns in rules.items()])))
+    earlier = F.lit(False)
+    for name, columns in rules.items():
+        parts = F.ceil(F.count("*").over(W.partitionBy(*columns)) / BLOCK).cast("int")
+        block = rows.na.drop(subset=columns).withColumn("parts", parts)
+        a = side(block.withColumn("part", F.pmod(F.xxhash64(rid), "parts").cast("int")).drop("parts"), "a")
+        b = side(block.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), "b")
+        pairs = a.join(b, agree([*columns, "part"]) & (F.col(f"a_{rid}") < F.col(f"b_{rid}"))).filter(~earlier).drop("a_part", "b_part")
+        made.append(pairs.select(F.col(f"a_{rid}").alias("l"), F.col(f"b_{rid}").alias("r"), F.lit(name).alias("rule"), all_rules.alias("rules"), "*"))
+        earlier = earlier | F.coalesce(agree(columns), F.lit(False))
+    return reduce(lambda x, y: x.unionByName(y), made)
 
 
 def block_sizes(rows: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
@@ -39,35 +54,52 @@ def block_sizes(rows: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y), out)
 
 
-def train(patterns: list[tuple[tuple[int, ...], int]], levels: list[int]) -> tuple[float, list[list[float]], list[list[float]]]:
-    """Prior, m and u of each field's levels by expectation maximisation over pattern counts."""
-    prior = PRIOR
+def train_strata(patterns: list[tuple[str, tuple[int, ...], int]], levels: list[int]) -> tuple[dict[str, float], list[list[float]], list[list[float]]]:
+    """Prior of each stratum, m and u of each field's levels by expectation maximisation over pattern counts."""
+    priors = {s: PRIOR for s, _, _ in patterns}
     m = [[(k + 1) / sum(range(1, n + 1)) for k in range(n)] for n in levels]
     u = [[(n - k) / sum(range(1, n + 1)) for k in range(n)] for n in levels]
     for _ in range(TURNS):
         weights = []
-        for g, c in patterns:
-            pm = prior * math.prod(m[f][k] for f, k in enumerate(g) if k >= 0)
-            pu = (1 - prior) * math.prod(u[f][k] for f, k in enumerate(g) if k >= 0)
-            weights.append((g, c, pm / (pm + pu)))
-        matched, everything = sum(c * w for _, c, w in weights), sum(c for _, c, _ in weights)
-        prior = min(max(matched / max(everything, 1), FLOOR), 1 - FLOOR)
+        for s, g, c in patterns:
+            pm = priors[s] * math.prod(m[f][k] for f, k in enumerate(g) if k >= 0)
+            pu = (1 - priors[s]) * math.prod(u[f][k] for f, k in enumerate(g) if k >= 0)
+            weights.append((s, g, c, pm / (pm + pu)))
+        for s in priors:
+            matched, everything = sum(c * w for t, _, c, w in weights if t == s), sum(c for t, _, c, _ in weights if t == s)
+            priors[s] = min(max(matched / max(everything, 1), FLOOR), 1 - FLOOR)
         for f, n in enumerate(levels):
             for k in range(n):
-                hit = [(c, w) for g, c, w in weights if g[f] == k]
-                seen = [(c, w) for g, c, w in weights if g[f] >= 0]
+                hit = [(c, w) for _, g, c, w in weights if g[f] == k]
+                seen = [(c, w) for _, g, c, w in weights if g[f] >= 0]
                 m[f][k] = max(sum(c * w for c, w in hit) / max(sum(c * w for c, w in seen), FLOOR), FLOOR)
                 u[f][k] = max(sum(c * (1 - w) for c, w in hit) / max(sum(c * (1 - w) for c, w in seen), FLOOR), FLOOR)
-    return prior, m, u
+    return priors, m, u
 
 
-def score(compared: DataFrame, fields: list[str], levels: list[int]) -> DataFrame:
-    """Adds ``probability`` to pairs with one comparison level (-1: missing) per field."""
-    counted = compared.groupBy(*fields).agg(F.count("*").alias("c")).collect()  # at most the product of the levels
+def train(patterns: list[tuple[tuple[int, ...], int]], levels: list[int]) -> tuple[float, list[list[float]], list[list[float]]]:
+    """Prior, m and u of pairs that all come from one stratum."""
+    priors, m, u = train_strata([("", g, c) for g, c in patterns], levels)
+    return priors.get("", PRIOR), m, u
+
+
+def score(compared: DataFrame, fields: list[str], levels: list[int], fixed: dict[str, list[str]] | None = None) -> DataFrame:
+    """Adds ``probability`` to pairs with one comparison level (-1: missing) per field.
+
+    With ``fixed``, the fields each blocking rule fixes, pairs that met the same ``rules``
+    are a stratum with a prior of its own; a field fixed there says nothing and counts as missing.
+    """
+    stratum = F.concat_ws(" ", "rules") if fixed else F.lit("")
+    for rule, names in (fixed or {}).items():
+        for name in names:
+            compared = compared.withColumn(name, F.when(F.array_contains("rules", rule), -1).otherwise(F.col(name)))
+    counted = compared.groupBy(stratum.alias("stratum"), *fields).agg(F.count("*").alias("c")).collect()  # at most the product of the levels, by stratum
     if not counted:
         return compared.withColumn("probability", F.lit(0.0))
-    prior, m, u = train([(tuple(r[f] for f in fields), r["c"]) for r in counted], levels)
-    weight: Column = F.lit(math.log(prior / (1 - prior)))
+    priors, m, u = train_strata([(r["stratum"], tuple(r[f] for f in fields), r["c"]) for r in counted], levels)
+    weight: Column = F.lit(0.0)
+    for s, prior in priors.items():
+        weight = F.when(stratum == s, math.log(prior / (1 - prior))).otherwise(weight)
     for f, name in enumerate(fields):
         w: Column = F.lit(0.0)
         for k in range(levels[f]):

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from tallybook.functions import finance as X
 from tallybook.functions.text import strip, utc_day
 from tallybook.operators import linkage, provenance, similarity
-from tallybook.plans.stage import table
+from tallybook.plans.stage import materialize, table
 from tallybook.queries.registry import Catalogue
 from tallybook.sources.exports import TX, transactions
 
@@ -288,19 +288,17 @@ def blocking_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    rows = _donors(spark, d)
-    pairs = linkage.blocked_pairs(rows, {"zip_prefix": _RULES["zip_prefix"], "employer_zip": _RULES["employer_zip"]})
-    side = lambda s: rows.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "employer", "zip5", "surname")])
-    j = pairs.join(side("a"), F.col("l") == F.col("a_id")).join(side("b"), F.col("r") == F.col("b_id"))
+    j = linkage.blocked_pairs(_donors(spark, d), _RULES)
     jw = similarity.jaro_winkler("a_n", "b_n")
     agree = lambda c: F.when(F.col(f"a_{c}").isNull() | F.col(f"b_{c}").isNull(), -1).when(F.col(f"a_{c}") == F.col(f"b_{c}"), 1).otherwise(0)
-    compared = j.withColumn("jw", jw).select("l", "r", "rule", F.when(F.col("jw") >= 0.97, 2).when(F.col("jw") >= 0.9, 1).otherwise(0).alias("name_level"), agree("employer").alias("employer_level"), agree("surname").alias("surname_level"))
-    return linkage.score(compared, ["name_level", "employer_level", "surname_level"], [3, 2, 2])
+    compared = j.withColumn("jw", jw).select("l", "r", "rule", "rules", F.when(F.col("jw") >= 0.97, 2).when(F.col("jw") >= 0.9, 1).otherwise(0).alias("name_level"), agree("employer").alias("employer_level"), agree("surname").alias("surname_level"))
+    # compared once, then counted and scored
+    return linkage.score(materialize(compared, "compared"), ["name_level", "employer_level", "surname_level"], [3, 2, 2], {"name_state": ["surname_level"], "employer_zip": ["employer_level"]})
 
 
 @C.add()
 def linkage_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Blocked, compared, trained and classified pairs of donors."""
+    """Pairs of donors blocked by every rule of _RULES, compared, trained and classified."""
     return _scored(spark, d).select("l", "r", "rule", F.round("probability", 6).alias("probability"), linkage.classify(F.col("probability")).alias("decision"))
 
 
