@@ -214,16 +214,16 @@ def found(source: DataFrame, exports: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- routing
 
-_RULES = "feed string, delivery string, fingerprint string, names map<string,string>, kinds map<string,string>, defaults array<string>"
+_RULES = "origin string, feed string, delivery string, fingerprint string, names map<string,string>, kinds map<string,string>, defaults array<string>"
 
 
 def _rules_of_feed(frame: pd.DataFrame) -> pd.DataFrame:
     """Routing rules of each delivery: rename to the newest name, cast to the widest type, default the absent."""
     import hashlib
 
-    feed = frame["feed"].iloc[0]
+    origin, feed = frame["origin"].iloc[0], frame["feed"].iloc[0]
     days = sorted(set(frame["delivery"]))
-    newest: dict[str, str] = {}  # newest name of each field, by the name it has in the delivery at hand
+    newest: dict[str, str] = {}  # newest name of each field, by the name it has in the delivery at hand, or had when last absent
     per_day: dict[str, dict[str, str]] = {}
     known: dict[str, str] = {}
     parts = {d: p for d, p in frame.groupby("delivery")}
@@ -231,10 +231,14 @@ def _rules_of_feed(frame: pd.DataFrame) -> pd.DataFrame:
         part = parts[day]
         own = set(part.loc[part["change"] == "keep", "field"])
         per_day[day] = {f: newest.get(f, f) for f in own}
+        for f, to in sorted(per_day[day].items()):  # no two fields of a delivery share a name
+            if f != to and (to in own and per_day[day][to] == to or [*per_day[day].values()].count(to) > 1):
+                per_day[day][f] = f
         for f, to in per_day[day].items():
             known.setdefault(f, to)
         back = {r.new_field: r.field for r in part.itertuples() if r.change == "renamed"}
-        newest = {back.get(f, f): to for f, to in per_day[day].items()}
+        absent = {f: to for f, to in newest.items() if f not in own}
+        newest = absent | {back.get(f, f): to for f, to in per_day[day].items()}
     kinds: dict[str, set] = {}
     for day in days:
         for r in parts[day].itertuples():
@@ -248,8 +252,8 @@ def _rules_of_feed(frame: pd.DataFrame) -> pd.DataFrame:
     for day in days:
         names = {f: t for f, t in known.items() if t not in per_day[day].values()} | per_day[day]  # rows in an older layout still find their way
         print_of = hashlib.sha256("\x1f".join(sorted(f"{r.field}:{r.kind}" for r in parts[day].itertuples() if r.change == "keep")).encode()).hexdigest()
-        out.append((feed, day, print_of, dict(names), dict(widest), everything))
-    return pd.DataFrame(out, columns=["feed", "delivery", "fingerprint", "names", "kinds", "defaults"])
+        out.append((origin, feed, day, print_of, dict(names), dict(widest), everything))
+    return pd.DataFrame(out, columns=["origin", "feed", "delivery", "fingerprint", "names", "kinds", "defaults"])
 
 
 def cast_value(v: Column, kind: Column) -> Column:
@@ -261,23 +265,31 @@ def cast_value(v: Column, kind: Column) -> Column:
 
 
 def routing_rules(source: DataFrame, exports: DataFrame) -> DataFrame:
-    """Rules per delivery of the feeds in ``source``."""
-    steps = migration_steps(source, exports).filter("origin = 'source_record'")
-    return steps.groupBy("feed").applyInPandas(_rules_of_feed, _RULES)
+    """Rules per delivery of the feeds of both origins."""
+    return migration_steps(source, exports).groupBy("origin", "feed").applyInPandas(_rules_of_feed, _RULES)
+
+
+def _raw(source: DataFrame, exports: DataFrame) -> DataFrame:
+    """(origin, id, feed, delivery, raw): rows of both origins; a blank export column is not carried."""
+    records = source.select(F.lit("source_record").alias("origin"), "id", F.col("data_source_id").alias("feed"), utc_day(F.col("pull_date")).alias("delivery"), F.coalesce("raw_fields", F.create_map().cast("map<string,string>")).alias("raw"))
+    columns = F.create_map(*[x for c in EXPORT_FIELDS for x in (F.lit(c), F.col(c))])
+    raw = F.map_filter(columns, lambda _, v: F.coalesce(strip(v), F.lit("")) != "")
+    number = F.col("export_row_id") if "export_row_id" in exports.columns else F.lit(None)
+    portal = exports.select(F.lit("real_transaction_export_adams").alias("origin"), number.cast("string").alias("id"), F.col("export_name").alias("feed"), F.date_format("exported_on", "yyyy-MM-dd").alias("delivery"), raw.alias("raw"))
+    return records.unionByName(portal)
 
 
 def consistent_table(source: DataFrame, exports: DataFrame) -> DataFrame:
-    """(id, feed, delivery, layout, fields, stray): every record under the newest names and widest types.
+    """(origin, id, feed, delivery, layout, fields, stray): every row of both inputs under the newest names and widest types.
 
     ``fields`` has every canonical field of the feed, null by default; values under
     unknown keys go to ``stray``. The rules are broadcast only up to ``RULE_ROWS`` rows.
     """
     rules = broadcast_if_small(materialize(routing_rules(source, exports), "rules"), RULE_ROWS)
-    rows = source.select("id", F.col("data_source_id").alias("feed"), utc_day(F.col("pull_date")).alias("delivery"), F.coalesce("raw_fields", F.create_map().cast("map<string,string>")).alias("raw"))
-    r = rows.join(rules, ["feed", "delivery"], "left")
+    r = _raw(source, exports).join(rules, ["origin", "feed", "delivery"], "left")
     entries = F.map_entries("raw")
     known = F.filter(entries, lambda e: F.coalesce(F.map_contains_key("names", e["key"]), F.lit(False)))
     moved = F.transform(known, lambda e: F.struct(F.element_at("names", e["key"]).alias("key"), cast_value(F.nullif(strip(e["value"]), F.lit("")), F.element_at("kinds", F.element_at("names", e["key"]))).alias("value")))
-    wide = r.select("id", "feed", "delivery", "fingerprint", "defaults", moved.alias("moved"), F.map_filter("raw", lambda k, _: ~F.coalesce(F.map_contains_key("names", k), F.lit(False))).alias("stray"))
+    wide = r.select("origin", "id", "feed", "delivery", "fingerprint", "defaults", moved.alias("moved"), F.map_filter("raw", lambda k, _: ~F.coalesce(F.map_contains_key("names", k), F.lit(False))).alias("stray"))
     fields = F.map_from_entries(F.transform("defaults", lambda name: F.struct(name.alias("key"), F.get(F.filter(F.col("moved"), lambda e: (e["key"] == name) & e["value"].isNotNull()), F.lit(0))["value"].alias("value"))))
-    return wide.select("id", "feed", "delivery", F.col("fingerprint").alias("layout"), fields.alias("fields"), "stray")
+    return wide.select("origin", "id", "feed", "delivery", F.col("fingerprint").alias("layout"), fields.alias("fields"), "stray")

@@ -17,7 +17,7 @@ def p1_consistent_table(spark: SparkSession, d: str) -> DataFrame:
     """Rows and filled canonical fields of each delivery after routing."""
     out = schema_drift.consistent_table(table(spark, d, "source_record"), table(spark, d, "real_transaction_export_adams"))
     filled = F.size(F.map_filter("fields", lambda _, v: v.isNotNull()))
-    return out.groupBy("feed", "delivery", "layout").agg(F.count("*").alias("rows"), F.sum(filled).alias("filled"), F.sum(F.size("stray")).alias("stray"))
+    return out.groupBy("origin", "feed", "delivery", "layout").agg(F.count("*").alias("rows"), F.sum(filled).alias("filled"), F.sum(F.size("stray")).alias("stray"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -44,5 +44,22 @@ def test_consistent_table(spark):
     assert out["3-0"][0] == {"New": "2024-02-03", "Sum": "8", "owner": "C"}
 
 
+def test_consistent_table_of_exports(spark):
+    d = dt.date
+    rows = [("e", d(2024, 1, 1), "Individual", None, "A", " ", "c")] * 10 + [("e", d(2024, 2, 1), "", "Individual", "A", "yes", "c")] * 10
+    source = _source(spark, {1: [{"OWNER": "A"}] * 3})
+    out = S.consistent_table(source, _exports(spark, rows)).collect()
+    assert len(out) == 23 and sum(r["origin"] == "source_record" for r in out) == 3
+    got = {(r["delivery"], tuple(sorted(dict(r["fields"]).items()))) for r in out if r["origin"] != "source_record"}
+    common = (("account_code", "A"), ("declaration", None), ("transaction_type", "Individual"))
+    assert got == {("2024-01-01", common), ("2024-02-01", (common[0], ("declaration", "true"), common[2]))}
+
+
+def test_rename_after_an_absence(spark):
+    source = _source(spark, {1: [{"OWNER": "A", "Sum": "1"}] * 3, 2: [{"Sum": "2"}] * 3, 3: [{"OWNER": "C", "Sum": "3"}] * 3, 4: [{"owner": "D", "Sum": "4"}] * 3})
+    out = {r["id"]: (dict(r["fields"]), dict(r["stray"])) for r in S.consistent_table(source, _exports(spark)).collect()}
+    assert out["1-0"] == ({"Sum": "1", "owner": "A"}, {}) and out["2-0"] == ({"Sum": "2", "owner": None}, {}) and out["3-0"][0]["owner"] == "C"
+
+
 def test_names():
     assert S.name_likeness("Account Code", "Acct Cd") > 0.9 and S.name_likeness("Employer", "Spouse Employer") < 0.5 and S.name_likeness("DEED_DATE", "deed_date") == 1.0
