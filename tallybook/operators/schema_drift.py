@@ -214,7 +214,7 @@ def found(source: DataFrame, exports: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- routing
 
-_RULES = "origin string, feed string, delivery string, fingerprint string, names map<string,string>, kinds map<string,string>, defaults array<string>"
+_RULES = "origin string, feed string, delivery string, fingerprint string, known array<string>, sources map<string,array<string>>, kinds map<string,string>"
 
 
 def _rules_of_feed(frame: pd.DataFrame) -> pd.DataFrame:
@@ -250,10 +250,13 @@ def _rules_of_feed(frame: pd.DataFrame) -> pd.DataFrame:
     everything = sorted({t for m in per_day.values() for t in m.values()})
     out = []
     for day in days:
-        names = {f: t for f, t in known.items() if t not in per_day[day].values()} | per_day[day]  # rows in an older layout still find their way
+        names = known | per_day[day]  # rows in another layout still find their way; a field's own name goes first
         print_of = hashlib.sha256("\x1f".join(sorted(f"{r.field}:{r.kind}" for r in parts[day].itertuples() if r.change == "keep")).encode()).hexdigest()
-        out.append((origin, feed, day, print_of, dict(names), dict(widest), everything))
-    return pd.DataFrame(out, columns=["origin", "feed", "delivery", "fingerprint", "names", "kinds", "defaults"])
+        sources: dict[str, list[str]] = {t: [] for t in everything}  # raw names by canonical name, the delivery's own first
+        for f in sorted(names, key=lambda f: (f not in per_day[day], f)):
+            sources[names[f]].append(f)
+        out.append((origin, feed, day, print_of, sorted(names), sources, dict(widest)))
+    return pd.DataFrame(out, columns=["origin", "feed", "delivery", "fingerprint", "known", "sources", "kinds"])
 
 
 def cast_value(v: Column, kind: Column) -> Column:
@@ -282,14 +285,18 @@ def _raw(source: DataFrame, exports: DataFrame) -> DataFrame:
 def consistent_table(source: DataFrame, exports: DataFrame) -> DataFrame:
     """(origin, id, feed, delivery, layout, fields, stray): every row of both inputs under the newest names and widest types.
 
-    ``fields`` has every canonical field of the feed, null by default; values under
-    unknown keys go to ``stray``. The rules are broadcast only up to ``RULE_ROWS`` rows.
+    ``fields`` has every canonical field of the feed, null by default; each is looked up
+    in the row's map under its raw names and cast once, so the work grows with the number
+    of fields. Values under unknown keys go to ``stray``. The rules are broadcast only up
+    to ``RULE_ROWS`` rows.
     """
     rules = broadcast_if_small(materialize(routing_rules(source, exports), "rules"), RULE_ROWS)
     r = _raw(source, exports).join(rules, ["origin", "feed", "delivery"], "left")
-    entries = F.map_entries("raw")
-    known = F.filter(entries, lambda e: F.coalesce(F.map_contains_key("names", e["key"]), F.lit(False)))
-    moved = F.transform(known, lambda e: F.struct(F.element_at("names", e["key"]).alias("key"), cast_value(F.nullif(strip(e["value"]), F.lit("")), F.element_at("kinds", F.element_at("names", e["key"]))).alias("value")))
-    wide = r.select("origin", "id", "feed", "delivery", "fingerprint", "defaults", moved.alias("moved"), F.map_filter("raw", lambda k, _: ~F.coalesce(F.map_contains_key("names", k), F.lit(False))).alias("stray"))
-    fields = F.map_from_entries(F.transform("defaults", lambda name: F.struct(name.alias("key"), F.get(F.filter(F.col("moved"), lambda e: (e["key"] == name) & e["value"].isNotNull()), F.lit(0))["value"].alias("value"))))
-    return wide.select("origin", "id", "feed", "delivery", F.col("fingerprint").alias("layout"), fields.alias("fields"), "stray")
+
+    def value(field: Column, raws: Column) -> Column:
+        held = F.filter(F.transform(raws, lambda k: F.nullif(strip(F.try_element_at("raw", k)), F.lit(""))), lambda v: v.isNotNull())
+        return F.get(F.transform(F.slice(held, 1, 1), lambda v: cast_value(v, F.try_element_at("kinds", field))), F.lit(0))
+
+    fields = F.transform_values("sources", value)
+    stray = F.map_filter("raw", lambda k, _: ~F.coalesce(F.array_contains("known", k), F.lit(False)))
+    return r.select("origin", "id", "feed", "delivery", F.col("fingerprint").alias("layout"), fields.alias("fields"), stray.alias("stray"))

@@ -38,8 +38,9 @@ def test_empty(spark):
 
 
 def test_consistent_table(spark):
-    source = _source(spark, {1: [{"OWNER": "A", "Sum": "1,200"}] * 3, 2: [{"owner": "B", "Sum": "7.5"}] * 3, 3: [{"owner": "C", "Sum": "8", "New": "02/03/2024"}, {"OWNER": "D", "odd": "z"}]})
+    source = _source(spark, {1: [{"OWNER": "A", "Sum": "1,200"}] * 3, 2: [{"owner": "B", "Sum": "7.5"}] * 3, 3: [{"owner": "C", "Sum": "8", "New": "02/03/2024"}] * 20 + [{"OWNER": "D", "odd": "z"}]})
     out = {r["id"]: (dict(r["fields"]), dict(r["stray"])) for r in S.consistent_table(source, _exports(spark)).collect()}
+    assert out["3-20"] == ({"New": None, "Sum": None, "owner": "D"}, {"odd": "z"})
     assert out["1-0"] == ({"New": None, "Sum": "1200", "owner": "A"}, {}) and out["2-1"][0]["owner"] == "B"
     assert out["3-0"][0] == {"New": "2024-02-03", "Sum": "8", "owner": "C"}
 
