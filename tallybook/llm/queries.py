@@ -30,6 +30,11 @@ def p6_fused(spark: SparkSession, d: str) -> DataFrame:
     return fusion.survivors(table(spark, d, "person"), table(spark, d, "person_absorption"), preferred=False).select("group_id", "field", "value", F.round("posterior", 6).alias("posterior"))
 
 
+def p6_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """What decides the surviving values: votes or prior, per field."""
+    return fusion.decisions(table(spark, d, "person"), table(spark, d, "person_absorption"))
+
+
 def p7_matches(spark: SparkSession, d: str) -> DataFrame:
     """Matching pairs with their confidence."""
     return org_matching.matches(table(spark, d, "organization"), table(spark, d, "address"), table(spark, d, "political_organization_527"))
@@ -55,7 +60,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p6_found, p6_fused, p7_found, p7_matches, p8_ids, p9_found, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p6_found, p6_fused, p6_decisions, p7_found, p7_matches, p8_ids, p9_found, p10_found, p10_rates)}
 
 SQL = {
     "p5_found": """
