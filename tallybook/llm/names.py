@@ -5,22 +5,29 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
 from typing import NamedTuple
 
-from tallybook.llm.places import one_edit
+from tallybook.llm.places import edits, one_edit
 
-# Short and pet forms of given names, by full name.
+# Common English short and pet forms of given names, by full name.
 _PET = {
-    "ALEXANDER": "ALEX AL SANDY XANDER", "ANDREW": "ANDY DREW", "ANTHONY": "TONY", "BENJAMIN": "BEN BENNY BENJI", "CAROL": "CAROLE CARRIE", "CHARLES": "CHARLIE CHUCK CHAS",
-    "CHRISTOPHER": "CHRIS KIT TOPHER", "DANIEL": "DAN DANNY", "DAVID": "DAVE DAVEY", "DEBORAH": "DEB DEBBIE DEBRA", "DOLORES": "LOLA DOLLY", "DONALD": "DON DONNIE",
-    "EDWARD": "ED EDDIE TED NED", "ELIZABETH": "LIZ BETH BETSY BETTY ELIZA LIZZIE LIBBY", "FREDERICK": "FRED FREDDY FREDDIE RICK", "GLORIA": "GLORY", "GREGORY": "GREG",
-    "GWENDOLYN": "GWEN WENDY", "HAROLD": "HARRY HAL", "HENRY": "HANK HARRY", "HECTOR": "HEC", "IRENE": "RENE RENIE", "JAMES": "JIM JIMMY JAMIE", "JENNIFER": "JEN JENNY JENN",
-    "JOHN": "JACK JOHNNY JON", "JOSEPH": "JOE JOEY", "JUDITH": "JUDY JUDE", "KATHERINE": "KATE KATIE KATHY KAT KIT KAY", "LAWRENCE": "LARRY LARS", "LETICIA": "LETTY TISH",
-    "MARCUS": "MARC MARK", "MARGARET": "MAGGIE MEG PEGGY MARGE MARGIE", "MICHAEL": "MIKE MICK MICKEY", "NANCY": "NAN", "NATHANIEL": "NATE NAT NATHAN", "OPHELIA": "PHILLY",
-    "PAMELA": "PAM PAMMY", "PATRICIA": "PAT PATTY TRISH PATSY", "QUENTIN": "QUENT QUINN", "REBECCA": "BECKY BECCA", "RICHARD": "RICK DICK RICH RICHIE", "ROBERT": "BOB ROB BOBBY ROBBIE BERT",
-    "SAMANTHA": "SAM SAMMY", "SAMUEL": "SAM SAMMY", "STEPHEN": "STEVE STEVIE STEVEN", "SUSAN": "SUE SUSIE SUZY", "THEODORE": "TED THEO TEDDY", "THOMAS": "TOM TOMMY",
-    "TIMOTHY": "TIM TIMMY", "VICTORIA": "VICKY TORI VICKIE", "VINCENT": "VINCE VIN VINNY", "WALTER": "WALT WALLY", "WILLIAM": "BILL WILL BILLY WILLIE LIAM", "XIMENA": "MENA XIME",
-    "YOLANDA": "YOLI LANDA", "KENNETH": "KEN KENNY", "RONALD": "RON RONNIE", "MATTHEW": "MATT", "BARBARA": "BARB BARBIE", "DOROTHY": "DOT DOTTIE", "VIRGINIA": "GINNY",
+    "ABIGAIL": "ABBY GAIL", "ABRAHAM": "ABE", "ADELAIDE": "ADDIE HEIDI", "AGNES": "AGGIE", "ALBERT": "AL BERT BERTIE", "ALEXANDER": "ALEX AL SANDY XANDER LEX", "ALFRED": "AL ALF FRED", "ALICE": "ALLIE",
+    "AMANDA": "MANDY", "ANDREW": "ANDY DREW", "ANGELA": "ANGIE", "ANNE": "ANNIE NAN NANCY", "ANTHONY": "TONY ANT", "ARTHUR": "ART ARTIE", "AUGUSTUS": "GUS", "BARBARA": "BARB BARBIE BABS", "BARTHOLOMEW": "BART",
+    "BEATRICE": "BEA TRIXIE", "BENJAMIN": "BEN BENNY BENJI", "BERNARD": "BERNIE", "BRADLEY": "BRAD", "CAROLINE": "CAROL CARRIE LINA", "CASSANDRA": "CASS SANDRA", "CATHERINE": "CATHY KATE KATIE KIT CAT", "CHARLES": "CHARLIE CHUCK CHAS CHAZ",
+    "CHARLOTTE": "LOTTIE CHARLIE", "CHRISTINE": "CHRIS CHRISSY TINA", "CHRISTOPHER": "CHRIS KIT TOPHER", "CLARENCE": "CLAIR", "CLIFFORD": "CLIFF", "CYNTHIA": "CINDY", "DANIEL": "DAN DANNY", "DAVID": "DAVE DAVEY", "DEBORAH": "DEB DEBBIE DEBRA",
+    "DOLORES": "LOLA DOLLY", "DONALD": "DON DONNIE", "DOROTHY": "DOT DOTTIE DOLLY DORA", "DOUGLAS": "DOUG", "EDMUND": "ED NED TED", "EDWARD": "ED EDDIE TED NED TEDDY", "EDWIN": "ED EDDIE", "ELEANOR": "ELLIE NELL NORA", "ELIZABETH": "LIZ BETH BETSY BETTY ELIZA LIZZIE LIBBY BESS",
+    "EMILY": "EM EMMY", "EUGENE": "GENE", "EVELYN": "EVE EVIE", "FLORENCE": "FLO FLOSSIE", "FRANCES": "FRAN FANNY FRANKIE", "FRANCIS": "FRANK FRANKIE", "FREDERICK": "FRED FREDDY FREDDIE RICK FRITZ", "GABRIEL": "GABE", "GEOFFREY": "GEOFF JEFF",
+    "GERALD": "GERRY JERRY", "GERTRUDE": "TRUDY GERTIE", "GILBERT": "GIL BERT", "GREGORY": "GREG", "GWENDOLYN": "GWEN WENDY", "HAROLD": "HARRY HAL", "HELEN": "NELL NELLIE LENA", "HENRY": "HANK HARRY HAL", "HERBERT": "HERB BERT", "HOWARD": "HOWIE",
+    "ISAAC": "IKE", "ISABEL": "BELLE IZZY", "JACOB": "JAKE", "JACQUELINE": "JACKIE", "JAMES": "JIM JIMMY JAMIE", "JANET": "JAN", "JEFFREY": "JEFF", "JENNIFER": "JEN JENNY JENN", "JEREMIAH": "JERRY", "JESSICA": "JESS JESSIE", "JOHN": "JACK JOHNNY JON",
+    "JONATHAN": "JON NATHAN", "JOSEPH": "JOE JOEY", "JOSEPHINE": "JO JOSIE", "JOSHUA": "JOSH", "JUDITH": "JUDY JUDE", "KATHERINE": "KATE KATIE KATHY KAT KIT KAY", "KENNETH": "KEN KENNY", "KIMBERLY": "KIM", "LAWRENCE": "LARRY LARS", "LEONARD": "LEN LENNY LEO",
+    "LEROY": "ROY", "LESLIE": "LES", "LILLIAN": "LIL LILLY", "LOUIS": "LOU LOUIE", "LUCILLE": "LUCY", "MADELINE": "MADDIE LENA", "MARGARET": "MAGGIE MEG PEGGY MARGE MARGIE RITA GRETA DAISY", "MARTHA": "MATTIE PATTY", "MARTIN": "MARTY", "MARY": "MOLLY POLLY MAMIE",
+    "MATILDA": "TILLY MATTIE", "MATTHEW": "MATT", "MAXIMILIAN": "MAX", "MELISSA": "MISSY LISSA", "MICHAEL": "MIKE MICK MICKEY MITCH", "MILDRED": "MILLIE", "MONTGOMERY": "MONTY", "NATHANIEL": "NATE NAT NATHAN", "NICHOLAS": "NICK NICKY", "NORMAN": "NORM", "OLIVER": "OLLIE",
+    "PAMELA": "PAM PAMMY", "PATRICIA": "PAT PATTY TRISH PATSY TRICIA", "PATRICK": "PAT PADDY", "PENELOPE": "PENNY", "PETER": "PETE", "PHILIP": "PHIL", "PRISCILLA": "CILLA", "RAYMOND": "RAY", "REBECCA": "BECKY BECCA", "REGINALD": "REG REGGIE", "RICHARD": "RICK DICK RICH RICHIE",
+    "ROBERT": "BOB ROB BOBBY ROBBIE BERT", "RODNEY": "ROD", "RONALD": "RON RONNIE", "ROSEMARY": "ROSE ROSIE", "RUSSELL": "RUSS RUSTY", "SAMANTHA": "SAM SAMMY", "SAMUEL": "SAM SAMMY", "SARAH": "SALLY SADIE", "STANLEY": "STAN", "STEPHANIE": "STEPH", "STEPHEN": "STEVE STEVIE STEVEN",
+    "STUART": "STU", "SUSAN": "SUE SUSIE SUZY", "SYLVESTER": "SLY", "TERENCE": "TERRY", "THEODORE": "TED THEO TEDDY", "THERESA": "TERRY TESS TESSA", "THOMAS": "TOM TOMMY", "TIMOTHY": "TIM TIMMY", "VALERIE": "VAL", "VICTOR": "VIC", "VICTORIA": "VICKY TORI VICKIE", "VINCENT": "VINCE VIN VINNY",
+    "VIRGINIA": "GINNY", "WALTER": "WALT WALLY", "WILLIAM": "BILL WILL BILLY WILLIE LIAM", "ZACHARY": "ZACK",
 }
 PET: dict[str, set[str]] = {}
 for _full, _short in _PET.items():
@@ -51,7 +58,7 @@ class Name(NamedTuple):
 
     kind: str
     form: str  # suffix of a person, legal form of an organisation
-    readings: tuple[tuple[str, ...], ...]  # person: (first, last, middles...) per reading; organisation: its words
+    readings: tuple[tuple[str, ...], ...]  # person: (first, last, middles...) per reading; organisation: its words, then its initials
 
 
 NOBODY = Name("", "", ())
@@ -80,6 +87,13 @@ def org_words(t: str) -> list[str]:
     return [SHORT.get(w, w) for w in re.findall(r"[A-Z0-9]+", t.replace("&", " AND ")) if w not in _SMALL]
 
 
+def initials(t: str) -> tuple[str, ...]:
+    """Initials of an organisation's words as typed and in full, with and without its small words (an article never counts)."""
+    every = [w for w in re.findall(r"[A-Z0-9]+", t.replace("&", " AND ")) if w not in ("THE", "A", "AN", "DBA")]
+    found = ["".join(SHORT.get(w, w)[0] if full else w[0] for w in every if small or w not in _SMALL) for full in (True, False) for small in (True, False)]
+    return tuple(dict.fromkeys(x for x in found if len(x) > 1))
+
+
 def read_name(text: str | None, org_tokens: set[str] | frozenset[str] = frozenset(), owner: bool = False) -> Name:
     """The name in a field; ``owner`` fields name a first owner before '&' or 'AND'."""
     t = clean(text or "")
@@ -89,9 +103,9 @@ def read_name(text: str | None, org_tokens: set[str] | frozenset[str] = frozense
     core, form = legal_form(t)
     words = org_words(core)
     if form or MARKS & set(words) or re.search(r"\bFOR\b", t) or any(w in org_tokens for w in words):
-        if len(words) == 1 and 2 <= len(words[0]) <= 4 and words[0] not in org_tokens:
+        if len(words) == 1 and len(words[0]) > 1 and words[0] not in org_tokens:
             return Name("A", form, (tuple(words),))
-        return Name("O", form, (tuple(words),)) if words else NOBODY
+        return Name("O", form, (tuple(words), initials(core))) if words else NOBODY
     if owner:
         t = re.split(r"\s*(?:&|;|\bAND\b|/)\s*", t)[0].strip(" ,")
     comma = "," in t
@@ -110,7 +124,7 @@ def read_name(text: str | None, org_tokens: set[str] | frozenset[str] = frozense
     if not flat:
         return NOBODY
     if len(flat) == 1:
-        return Name("A", "", ((flat[0],),)) if 2 <= len(flat[0]) <= 4 else NOBODY
+        return Name("A", "", ((flat[0],),)) if len(flat[0]) > 1 else NOBODY
     readings = []
     if comma and len(parts) > 1:
         last, rest = parts[0][0], [w for p, _ in parts[1:] for w in p]
@@ -137,32 +151,50 @@ for _full in _PET:
         _NEAR.setdefault(_full[:_i] + _full[_i + 1 :], _full)
 
 
-def fulls(first: str) -> set[str]:
+@lru_cache(maxsize=200_000)
+def fulls(first: str) -> frozenset[str]:
     """Given names a typed first name may stand for, one misspelling mended."""
     found = {first} | PET.get(first, set())
     if len(first) > 4 and len(found) == 1 and first not in _PET:
         for key in [first, *(first[:i] + first[i + 1 :] for i in range(len(first)))]:
             full = _NEAR.get(key)
             if full and one_edit(full, first):
-                return found | {full}
-    return found
+                return frozenset(found | {full})
+    return frozenset(found)
+
+
+def clipped(short: str, full: str) -> bool:
+    """Whether a short form is the beginning of a name (an ending -Y or -IE aside) or its end."""
+    if len(full) < len(short) + 2 or len(short) < 3:
+        return False
+    stem = re.sub(r"(Y|IE|EY|I)$", "", short)
+    if len(stem) > 3 and stem[-1] == stem[-2]:
+        stem = stem[:-1]
+    return full.startswith(short) or (len(stem) > 2 and full.startswith(stem)) or (len(short) > 3 and full.endswith(short))
 
 
+@lru_cache(maxsize=200_000)
 def first_fit(a: str, b: str) -> float:
-    """0 to 1: how well two first names agree."""
+    """How well two first names agree, up to 1; -1 where they are different names."""
     if a == b:
         return 1.0
     if len(a) == 1 or len(b) == 1:
-        return 0.7 if a[0] == b[0] or any(x[0] == y[0] for x in fulls(a) for y in fulls(b)) else 0.0
+        return 0.7 if a[0] == b[0] or any(x[0] == y[0] for x in fulls(a) for y in fulls(b)) else -1.0
     if fulls(a) & fulls(b):
         return 0.95
     if min(len(a), len(b)) >= 4 and any(one_edit(x, y) for x in fulls(a) for y in fulls(b) if min(len(x), len(y)) >= 4):
         return 0.85
-    return 0.0
+    # each of the two may be misspelt once
+    if a[0] == b[0] and min(len(a), len(b)) >= 6 and edits(a, b, 2) <= 2:
+        return 0.8
+    if any(clipped(a, x) for x in fulls(b)) or any(clipped(b, x) for x in fulls(a)):
+        return 0.85
+    return -1.0
 
 
+@lru_cache(maxsize=200_000)
 def last_fit(a: str, b: str) -> float:
-    """0 to 1: how well two last names agree; one half of a double name agrees a little less."""
+    """How well two last names agree, up to 1; -1 where they are different names."""
     x, y = a.replace(" ", ""), b.replace(" ", "")
     if x == y:
         return 1.0
@@ -172,18 +204,23 @@ def last_fit(a: str, b: str) -> float:
         p, q = a.split(), b.split()
         if len(p) == len(q) and all(one_edit(u, v) for u, v in zip(p, q)):
             return 0.85
-    return 0.0
+    return -1.0
 
 
 class Weights:
     """Weights of tokens from counts of their q-grams: rare tokens count more."""
 
     def __init__(self, counts: dict[str, int], total: int) -> None:
-        self.counts, self.total = counts, max(total, 1)
+        self.counts, self.total, self.known = counts, max(total, 1), {}
 
     def __call__(self, token: str) -> float:
-        grams = qgrams(token.replace(" ", ""))
-        return 0.3 + sum(math.log(1 + self.total / (1 + self.counts.get(g, 0))) for g in grams) / len(grams)
+        got = self.known.get(token)
+        if got is None:
+            grams = qgrams(token.replace(" ", ""))
+            got = 0.3 + sum(math.log(1 + self.total / (1 + self.counts.get(g, 0))) for g in grams) / len(grams)
+            if len(self.known) < 500_000:
+                self.known[token] = got
+        return got
 
 
 def qgrams(token: str, q: int = 3) -> list[str]:
@@ -192,59 +229,68 @@ def qgrams(token: str, q: int = 3) -> list[str]:
     return list(dict.fromkeys(padded[i : i + q] for i in range(len(padded) - q + 1)))
 
 
-#: Least weighted similarity of two names.
-ENOUGH = 0.8
+#: Least weighted similarity of two names; information, in nats, of an initial and of a suffix; share of the words' weight a legal form has.
+ENOUGH, INITIAL, SUFFIX, FORM = 0.8, math.log(26), math.log(10), 0.15
+#: Fits of a misspelt word, of words run together and of initials for a full name; misspelt words an organisation may have.
+MISSPELT, JOINED, SPELT_OUT, MOST_MISSPELT = 0.9, 0.95, 0.9, 2
 
 
-def person_likeness(a: Name, b: Name, weight: Weights) -> float:
-    """Best weighted similarity over the readings; 0 if anything contradicts."""
-    if a.form and b.form and a.form != b.form:
-        return 0.0
-    best = 0.0
+def person_likeness(a: Name, b: Name, weight: Callable[[str], float]) -> float:
+    """Best weighted similarity over the readings: fitting tokens count for, contradicting ones (fit -1) against, left-out ones not at all."""
+    best = -1.0
     for x in a.readings:
         for y in b.readings:
             last = last_fit(x[1], y[1])
-            first = first_fit(x[0], y[0]) if last else 0.0
-            if not first:
-                continue
-            middles = list(zip(x[2:], y[2:]))
-            # a middle name may be left out or cut to its initial, but not be another
-            if any(m[0] != n[0] if min(len(m), len(n)) == 1 else not one_edit(m, n) for m, n in middles):
+            wl = weight(max(x[1], y[1], key=len))
+            if last < 0 and best >= 0:
                 continue
-            wl, wf = weight(max(x[1], y[1], key=len)), weight(max(x[0], y[0], key=len)) * (0.5 if min(len(x[0]), len(y[0])) == 1 else 1.0)
-            score = (wl * last + wf * first + 0.5 * len(middles)) / (wl + wf + 0.5 * len(middles))
-            best = max(best, score)
+            first, short = first_fit(x[0], y[0]), min(len(x[0]), len(y[0])) == 1
+            wf = weight(max(x[0], y[0], key=len)) * (0.5 if short and first > 0 else 1.0)
+            got, all_ = wl * last + wf * first, wl + wf
+            # a middle name may be left out or cut to its initial
+            for m, n in zip(x[2:], y[2:]):
+                initial = min(len(m), len(n)) == 1
+                w = INITIAL if initial else max(weight(m), INITIAL)
+                got, all_ = got + (w if (m[0] == n[0] if initial else one_edit(m, n)) else -w), all_ + w
+            if a.form and b.form:
+                got, all_ = got + (SUFFIX if a.form == b.form else -SUFFIX), all_ + SUFFIX
+            best = max(best, got / all_)
     return best
 
 
-def org_likeness(a: Name, b: Name, weight: Weights) -> float:
-    """Soft weighted similarity of the words; every word needs its like."""
-    if a.form and b.form and a.form != b.form:
-        return 0.0
+def org_likeness(a: Name, b: Name, weight: Callable[[str], float]) -> float:
+    """Soft weighted similarity of the words in any order: fitting words count for, words without a like against; so does another legal form."""
     x, y = list(a.readings[0]), list(b.readings[0])
-    if a.kind == "A" or b.kind == "A":
-        short, long = (x, y) if a.kind == "A" else (y, x)
-        if a.kind == b.kind:
-            return 1.0 if x == y else 0.0
-        return 0.9 if len(long) > 1 and short[0] == "".join(w[0] for w in long) else 0.0
-    if len(x) != len(y):
-        # words run together or split
-        fx, fy = "".join(x), "".join(y)
-        return 0.9 if fx == fy else 0.0
-    left, got, all_ = list(y), 0.0, 0.0
-    for w in x:
-        fit, mate = max(((1.0 if w == v else 0.9 if min(len(w), len(v)) >= 4 and one_edit(w, v) else 0.0), v) for v in left)
-        if not fit:
-            return 0.0
-        left.remove(mate)
-        got, all_ = got + fit * weight(w), all_ + weight(w)
-    return got / all_ if all_ else 0.0
-
-
-def likeness(a: Name, b: Name, weight: Weights) -> float:
-    """Weighted similarity of two names of one kind."""
+    all_ = sum(map(weight, x)) + sum(map(weight, y))
+    if a.kind != b.kind:
+        word, spelt = (x[0], b) if a.kind == "A" else (y[0], a)
+        got = SPELT_OUT if len(spelt.readings) > 1 and word in spelt.readings[1] else -1.0
+    elif x != y and "".join(x) == "".join(y):
+        got = JOINED
+    else:
+        left, rest, fits, misspelt = list(y), [], 0.0, 0
+        for w in x:
+            if w in left:
+                left.remove(w)
+                fits += 2 * weight(w)
+            else:
+                rest.append(w)
+        alone = sum(map(weight, left)) + sum(map(weight, rest))
+        for w in rest if a.kind == "O" else ():
+            mate = next((v for v in left if min(len(w), len(v)) >= 4 and one_edit(w, v)), None)
+            if mate is not None and misspelt < MOST_MISSPELT:
+                left.remove(mate)
+                misspelt += 1
+                alone -= weight(w) + weight(mate)
+                fits += MISSPELT * (weight(w) + weight(mate))
+        got = (fits - alone) / all_ if all_ else -1.0
+    return (got - FORM) / (1 + FORM) if a.form and b.form and a.form != b.form else got
+
+
+def likeness(a: Name, b: Name, weight: Callable[[str], float]) -> float:
+    """Weighted similarity of two names of one kind, -1 to 1."""
     if a.kind == "P" and b.kind == "P":
         return person_likeness(a, b, weight)
-    if a.kind in "OA" and b.kind in "OA" and a.kind and b.kind:
+    if a.kind in ("O", "A") and b.kind in ("O", "A"):
         return org_likeness(a, b, weight)
-    return 0.0
+    return -1.0

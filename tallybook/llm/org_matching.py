@@ -3,21 +3,28 @@
 Name q-grams are encoded as fixed bit vectors. Vectors within a Hamming radius are
 found exactly by multi-index hashing: cut into radius + 2 segments, two vectors within
 the radius agree in at least two segments, so pairs of segments are the join keys, and
-a bit count verifies. Close names are checked word by word (legal forms and words must
-not contradict); name pairs become record pairs only where another attribute agrees
-(town, date, EIN, or state if nothing else is known), so a common name never multiplies
-out. Field-weighted Dice scores of name, town, address, date and state are turned into
-confidences by a monotone calibration against EIN agreement, a noisy witness that is
-left out of the score; counts per score bin, with a documented prior, are all it needs.
+a bit count verifies. Every key also holds something a match needs besides the name:
+the town where both are known, else the quarter of the founding date, else the state.
+So the candidates of a body are those of its town or quarter, however often its name
+occurs, and bodies only meet where they could be the same. Initials are keys alike.
+
+Each candidate gets Dice scores of its fields (name bits, weighted words, town,
+address, date, state, and how few rivals it has); their weighted mean is turned into a
+confidence by a monotone calibration against EIN agreement. The EIN neither admits nor
+scores a pair: the calibration counts pairs that were found without it. Where a pair's
+own EINs are known, the confidence is then updated by how often the EINs of sure
+pairs agree and how often those of chance pairs do (Bayes' rule).
 
 Edge cases: null, blank and placeholder names match nothing; bodies with known towns
 match only in one town; an equal EIN alone is no match; repeated rows match each on
-their own; missing addresses and dates weigh nothing; empty tables give no rows;
+their own; missing addresses and dates count as unknown; empty tables give no rows;
 extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
@@ -29,88 +36,78 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.text import blank_to_null
 from tallybook.llm.addresses import share_towns, shared_gazetteer
-from tallybook.llm.name_matching import org_vocabulary
-from tallybook.llm.names import Name, org_likeness, read_name
+from tallybook.llm.name_matching import with_org_words
+from tallybook.llm.names import Name, Weights, org_likeness, qgrams, read_name
 from tallybook.llm.places import STATES, read_place
 from tallybook.plans.stage import materialize
 
-#: Bits of a vector (in longs of 60), Hamming radius, segments (radius + 2), days within which dates agree.
-WORDS, WORD_BITS, RADIUS, DAYS = 4, 60, 8, 92
-SEGMENTS = RADIUS + 2
-#: Least similarity of two names; weights of the fields' Dice scores; bins and prior strength of the calibration.
-ENOUGH, FIELD_WEIGHTS, BINS, PRIOR = 0.8, {"name": 4.0, "town": 3.0, "address": 2.0, "date": 3.0, "state": 1.0}, 10, 8.0
+#: Hamming radius, segments (radius + 2) of so many bits, days within which dates agree.
+RADIUS, SEGMENTS, WIDTH, DAYS = 8, 10, 24, 92
+BITS = SEGMENTS * WIDTH
+#: Weights of the fields' Dice scores, the score of an unknown field, bins and prior strength of the calibration, least confidence of a match.
+FIELD_WEIGHTS, UNKNOWN, BINS, PRIOR, LEAST = {"bits": 2.0, "words": 5.0, "town": 2.0, "address": 1.0, "date": 3.0, "state": 1.0, "rivals": 3.0}, 0.35, 20, 8.0, 0.5
+#: How often two different bodies have one EIN.
+CHANCE = 0.01
+_PAIRS = list(combinations(range(SEGMENTS), 2))
 
 
-def encode(words: tuple[str, ...]) -> int:
-    """Bit vector of the padded bigrams of a name's words, whatever their order."""
-    bits = 0
+def encode(words: tuple[str, ...]) -> list[int]:
+    """Segments of the bit vector of the padded bigrams of a name's words, whatever their order."""
+    segments = [0] * SEGMENTS
     for w in words:
         padded = f"^{w}$"
         for i in range(len(padded) - 1):
-            bits |= 1 << xxhash.xxh64_intdigest(padded[i : i + 2].encode()) % (WORDS * WORD_BITS)
-    return bits
+            at = xxhash.xxh64_intdigest(padded[i : i + 2].encode()) % BITS
+            segments[at // WIDTH] |= 1 << at % WIDTH
+    return segments
 
 
-def index_keys(bits: int) -> list[int]:
-    """Hashes of every pair of segments."""
-    width = WORDS * WORD_BITS // SEGMENTS
-    parts = [(bits >> i * width) & ((1 << width) - 1) for i in range(SEGMENTS)]
-    out = []
-    for i, j in combinations(range(SEGMENTS), 2):
-        h = xxhash.xxh64_intdigest(f"{i},{j},{parts[i]},{parts[j]}".encode())
-        out.append(h - (1 << 64) if h >> 63 else h)
-    return out
+def index_keys(segments: Column, attribute: Column) -> Column:
+    """Array of the keys of a vector: every pair of segments together with an attribute."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _PAIRS])
+    return F.transform(pairs, lambda p: F.xxhash64(attribute, p["i"], p["j"], F.get(segments, p["i"]), F.get(segments, p["j"])))
 
 
-def _name_reader(orgs) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = (1 << WORD_BITS) - 1
-        for batch in batches:
-            rows = []
-            for text in batch.column("name").to_pylist():
-                read = read_name(text, orgs.value)
-                if read.kind == "P":  # a body without legal form whose words are not known as such
-                    read = Name("O", read.form, (tuple(w for w in (read.readings[0][0], *read.readings[0][2:], *read.readings[0][1].split())),))
-                if read.kind:
-                    words = read.readings[0]
-                    initials = "".join(w[0] for w in words) if read.kind == "O" else words[0]
-                    bits = encode(words)
-                    rows.append((text, read.kind, read.form, list(words), initials, [(bits >> i * WORD_BITS) & mask for i in range(WORDS)], index_keys(bits)))
-            columns = list(zip(*rows)) if rows else [[]] * 7
-            types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["name", "kind", "form", "words", "initials", "bits", "keys"])
+def _read_body(text: str, marks: list[str]) -> Name:
+    """The name of a body; without legal form and known words it is still no person."""
+    read = read_name(text, frozenset(marks))
+    if read.kind != "P":
+        return read
+    words = (read.readings[0][0], *read.readings[0][2:], *read.readings[0][1].split())
+    return Name("O", read.form, (words, ("".join(w[0] for w in words),)))
 
-    return run
 
+def _name_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for text, marks in zip(batch.column("name").to_pylist(), batch.column("marks").to_pylist()):
+            read = _read_body(text, marks)
+            if read.kind:
+                spelt = read.readings[1] if len(read.readings) > 1 else ()
+                words = list(read.readings[0])
+                rows.append((text, read.kind, read.form, words, list(spelt) if read.kind == "O" else words, encode(read.readings[0]), sorted({g for w in words for g in qgrams(w)})))
+        columns = list(zip(*rows)) if rows else [[]] * 7
+        texts = pa.list_(pa.string())
+        types = [pa.string(), pa.string(), pa.string(), texts, texts, pa.list_(pa.int32()), texts]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["name", "kind", "form", "words", "initials", "bits", "grams"])
 
-_NAME_ROW = "name string, kind string, form string, words array<string>, initials string, bits array<long>, keys array<long>"
 
+_NAME_ROW = "name string, kind string, form string, words array<string>, initials array<string>, bits array<int>, grams array<string>"
+_SIDE = ("kind", "form", "words", "initials")
 
-def _name_verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flat(_: str) -> float:
-        return 1.0
 
-    for batch in batches:
-        sides = [[Name(k, f, (tuple(w),)) for k, f, w in zip(*[batch.column(f"{s}_{c}").to_pylist() for c in ("kind", "form", "words")])] for s in "ab"]
-        ok = [org_likeness(a, b, flat) >= ENOUGH for a, b in zip(*sides)]
-        yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-
-def close_names(names: DataFrame, others: DataFrame) -> DataFrame:
-    """(a, b, dice): pairs of name forms within the Hamming radius, or a name and its initials."""
-    left = names.select(F.col("name").alias("a"), F.col("bits").alias("abits"), F.explode("keys").alias("key"))
-    right = others.select(F.col("name").alias("b"), F.col("bits").alias("bbits"), F.explode("keys").alias("key"))
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("abits")[i].bitwiseXOR(F.col("bbits")[i])) for i in range(WORDS)])
-    near = left.join(right, "key").filter(apart <= RADIUS).select("a", "b")
-    short = names.filter("kind = 'A'").select(F.col("name").alias("a"), "initials").join(others.select(F.col("name").alias("b"), "initials"), "initials").select("a", "b")
-    long = names.filter("kind != 'A'").select(F.col("name").alias("a"), "initials").join(others.filter("kind = 'A'").select(F.col("name").alias("b"), "initials"), "initials").select("a", "b")
-    pairs = near.unionByName(short).unionByName(long).distinct()
-    sides = [t.select(F.col("name").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("kind", "form", "words")]) for t, s in ((names, "a"), (others, "b"))]
-    checked = pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_name_verifier, "a string, b string")
-    both = reduce(lambda x, y: x + y, [F.bit_count(F.col("abits")[i].bitwiseAND(F.col("bbits")[i])) for i in range(WORDS)])
-    size = reduce(lambda x, y: x + y, [F.bit_count(F.col(c)[i]) for c in ("abits", "bbits") for i in range(WORDS)])
-    bits = [t.select(F.col("name").alias(s), F.col("bits").alias(f"{s}bits")) for t, s in ((names, "a"), (others, "b"))]
-    return checked.join(bits[0], "a").join(bits[1], "b").select("a", "b", (2.0 * both / size).alias("name_dice"))
+def _likeness(counts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = Weights(counts.value[1], counts.value[0])
+        for batch in batches:
+            sides = []
+            for s in "ab":
+                parts = zip(*[batch.column(f"{s}_{c}").to_pylist() for c in _SIDE])
+                sides.append([Name(k, f, (tuple(w), tuple(i)) if k == "O" else (tuple(w),)) for k, f, w, i in parts])
+            words = [max(0.0, org_likeness(a, b, weight)) for a, b in zip(*sides)]
+            yield pa.record_batch([*[batch.column(c) for c in ("o", "f", "bits_dice")], pa.array(words, pa.float64())], ["o", "f", "bits", "words"])
+
+    return run
 
 
 def _place_reader(towns) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -153,73 +150,152 @@ def bodies(organization: DataFrame, address: DataFrame, political: DataFrame, to
     return orgs, filed
 
 
+_BODY = ("id", "town", "state", "spot", "date", "ein")
+
+
+def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r): rows of both sides, by ``row``, whose names are close or initials of each other, in one town, quarter or state."""
+    slot = F.floor(F.unix_date("date") / DAYS)
+    town, undated = F.nullif("town", F.lit("")), F.col("date").isNull()
+
+    def keyed(side: DataFrame, where: Column, attributes: Column, s: str) -> DataFrame:
+        one = side.filter(where).select("row", "kind", "bits", "initials", F.explode(F.array_compact(attributes)).alias("attribute"))
+        ini = F.transform("initials", lambda i: F.xxhash64(F.col("attribute"), i))
+        keys = F.concat(F.transform(index_keys(F.col("bits"), F.col("attribute")), lambda k: F.struct(k.alias("key"), F.lit(False).alias("ini"))), F.transform(ini, lambda k: F.struct(k.alias("key"), F.lit(True).alias("ini"))))
+        flat = one.select("row", "kind", "bits", F.explode(keys).alias("k"))
+        return flat.select(F.col("k.key").alias(f"{s}key"), F.col("k.ini").alias(f"{s}ini"), F.col("row").alias(s), F.col("kind").alias(f"{s}kind"), *[F.get("bits", F.lit(i)).alias(f"{s}{i}") for i in range(SEGMENTS)])
+
+    tag = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    slots = lambda span: [tag("D", slot + i) for i in span]
+    # a state is a key only of rows that lack a date on one side: the undated meet all, the dated only the undated
+    state, all_ = tag("S", F.col("state")), F.lit(True)
+    undated_state, dated_state = F.when(undated, tag("U", F.col("state"))), F.when(~undated, tag("U", F.col("state")))
+    here = (keyed(left, town.isNotNull(), F.array(tag("T", town)), "l"), keyed(right, town.isNotNull(), F.array(tag("T", town)), "r"))
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"l{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(SEGMENTS)])
+    close = (~F.col("lini") & (apart <= RADIUS)) | (F.col("lini") & ((F.col("lkind") == "A") | (F.col("rkind") == "A")))
+    made = [here]
+    for a, b in ((town.isNull(), all_), (town.isNotNull(), town.isNull())):
+        made.append((keyed(left, a, F.array(*slots((-1, 0, 1)), F.when(undated, state), undated_state), "l"), keyed(right, b, F.array(*slots((0,)), F.when(undated, state), dated_state), "r")))
+        made.append((keyed(left, a, F.array(dated_state), "l"), keyed(right, b, F.array(undated_state), "r")))
+    joined = [x.join(y, (F.col("lkey") == F.col("rkey")) & (F.col("lini") == F.col("rini"))).filter(close).select("l", "r") for x, y in made]
+    return reduce(lambda x, y: x.unionByName(y), joined).distinct()
+
+
 def scored_pairs(organization: DataFrame, address: DataFrame, political: DataFrame) -> DataFrame:
     """(organization_id, political_organization_527_id, score, witness) of every pair that may match."""
+    spark = organization.sparkSession
     cities = [political.select(F.col(f"{p}_address_city").alias("city"), F.col(f"{p}_address_zip").alias("zip")) for p in ("mailing", "business")]
     towns = share_towns(cities[0].unionByName(cities[1]))
     orgs, filed = (materialize(t, "bodies") for t in bodies(organization, address, political, towns))
     texts = orgs.select(F.explode("names").alias("name")).unionByName(filed.select(F.explode("names").alias("name")))
-    vocabulary = organization.sparkSession.sparkContext.broadcast(frozenset(org_vocabulary(texts)))
-    read = [materialize(t.select(F.explode("names").alias("name")).distinct().mapInArrow(_name_reader(vocabulary), _NAME_ROW), "names") for t in (orgs, filed)]
-    pairs = materialize(close_names(*read), "name-pairs")
-    left = orgs.select("*", F.explode("names").alias("a")).join(pairs, "a").select(F.col("id").alias("o"), "b", "name_dice", F.col("town").alias("ot"), F.col("state").alias("os"), F.col("spot").alias("op"), F.col("date").alias("od"), F.col("ein").alias("oe"))
-    left = materialize(left, "left-bodies")
-    right = filed.select("*", F.explode("names").alias("b")).select("b", F.col("id").alias("f"), F.col("town").alias("ft"), F.col("state").alias("fs"), F.col("spot").alias("fp"), F.col("date").alias("fd"), F.col("ein").alias("fe"))
-    age = lambda c: F.floor(F.unix_date(c) / DAYS)
-    open_ = (F.col("ot") == "") | (F.col("ft") == "")
-    near = right.withColumn("slot", F.explode(F.array(*[age(F.col("fd")) + i for i in (-1, 0, 1)])))
-    joined = [
-        left.alias("l").join(right.alias("r"), (F.col("l.b") == F.col("r.b")) & (F.col("l.ot") == F.col("r.ft")) & (F.col("l.ot") != "")),
-        left.withColumn("slot", age(F.col("od"))).alias("l").join(near.alias("r"), (F.col("l.b") == F.col("r.b")) & (F.col("l.slot") == F.col("r.slot"))).filter(open_),
-        left.alias("l").join(right.alias("r"), (F.col("l.b") == F.col("r.b")) & (F.col("l.oe") == F.col("r.fe"))).filter(open_),
-        left.alias("l").join(right.alias("r"), (F.col("l.b") == F.col("r.b")) & (F.col("l.os") == F.col("r.fs"))).filter(open_ & (F.col("od").isNull() | F.col("fd").isNull())),
-    ]
-    columns = ["o", "f", "name_dice", "ot", "ft", "os", "fs", "op", "fp", "od", "fd", "oe", "fe"]
-    all_ = reduce(lambda x, y: x.unionByName(y), [j.select(*columns) for j in joined])
-    one = all_.groupBy("o", "f").agg(F.max("name_dice").alias("name_dice"), *[F.first(c, ignorenulls=True).alias(c) for c in columns[3:]])
-    days = F.abs(F.datediff("od", "fd"))
-    witness = F.when(F.col("oe").isNotNull() & F.col("fe").isNotNull(), (F.col("oe") == F.col("fe")).cast("int"))
-    state_clash = F.coalesce(F.col("os") != F.col("fs"), F.lit(False))
-    same_town = (F.col("ot") != "") & (F.col("ot") == F.col("ft"))
-    # a date far off speaks against a pair of unknown town, unless the EIN agrees; so does another state
-    possible = same_town | (~state_clash & ((days <= DAYS) | (F.coalesce(witness, F.lit(-1)) == 1) | (days.isNull() & (F.coalesce(witness, F.lit(-1)) != 0))))
+    read = materialize(with_org_words(texts).mapInArrow(_name_reader, _NAME_ROW), "names")
+    counted = read.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()  # at most 38 ** 3 padded trigrams
+    counts = spark.sparkContext.broadcast((read.count(), {r["gram"]: r["n"] for r in counted}, uuid.uuid4().hex))
+    # rows meet under a hash of body and name; whatever shares a hash is joined back and compared in full
+    sides = [materialize(t.select(*_BODY, F.explode("names").alias("name")).join(read.drop("grams"), "name").withColumn("row", F.xxhash64("id", "name")), "body-names") for t in (orgs, filed)]
+    pairs = materialize(candidates(*sides), "candidates")
+    named = lambda t, s: t.select(F.col("row").alias(s), F.col("id").alias({"l": "o", "r": "f"}[s]), *[F.col(c).alias(f"{'a' if s == 'l' else 'b'}_{c}") for c in _SIDE], F.col("bits").alias(f"{s}bits"))
+    both, size = (reduce(lambda x, y: x + y, [f(i) for i in range(SEGMENTS)]) for f in (lambda i: F.bit_count(F.get("lbits", F.lit(i)).bitwiseAND(F.get("rbits", F.lit(i)))), lambda i: F.bit_count(F.get("lbits", F.lit(i))) + F.bit_count(F.get("rbits", F.lit(i)))))
+    met = pairs.join(named(sides[0], "l"), "l").join(named(sides[1], "r"), "r").withColumn("bits_dice", 2.0 * both / F.greatest(size, F.lit(1)))
+    liked = met.select("o", "f", "bits_dice", *[f"{s}_{c}" for s in "ab" for c in _SIDE]).mapInArrow(_likeness(counts), "o string, f string, bits double, words double")
+    best = liked.groupBy("o", "f").agg(F.max("bits").alias("bits"), F.max("words").alias("words"))
+    body = lambda t, key, s: t.select(F.col("id").alias(key), *[F.col(c).alias(f"{s}_{c}") for c in _BODY[1:]]).dropDuplicates([key])
+    one = materialize(best.join(body(orgs, "o", "o"), "o").join(body(filed, "f", "f"), "f"), "met")
+    days = F.abs(F.datediff("o_date", "f_date"))
+    same_town = (F.col("o_town") != "") & (F.col("o_town") == F.col("f_town"))
+    clash = F.coalesce(F.col("o_state") != F.col("f_state"), F.lit(False))
+    # a date far off, or another state, speaks against a pair of unknown town
+    one = one.withColumn("days", days).withColumn("same_town", same_town).filter(same_town | (~clash & (F.coalesce("days", F.lit(0)) <= DAYS)))
+    one = one.withColumn("placed", F.col("same_town") | F.coalesce(F.col("days") <= DAYS, F.lit(False)))
+    one = _with_rivals(materialize(one, "possible"))
     dice = {
-        "name": F.col("name_dice"),
-        "town": F.when(same_town, F.lit(1.0)),
-        "address": F.when((F.col("op") != "") & (F.col("fp") != ""), (F.col("op") == F.col("fp")).cast("double")),
-        "date": F.when(days.isNotNull(), F.greatest(F.lit(0.0), 1 - days / F.lit(2.0 * DAYS))),
-        "state": F.when(F.col("os").isNotNull() & F.col("fs").isNotNull(), (F.col("os") == F.col("fs")).cast("double")),
+        "bits": F.col("bits"),
+        "words": F.col("words"),
+        "town": F.when(F.col("same_town"), F.lit(1.0)),
+        "address": F.when((F.col("o_spot") != "") & (F.col("f_spot") != ""), (F.col("o_spot") == F.col("f_spot")).cast("double")),
+        "date": F.when(F.col("days").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("days") / F.lit(2.0 * DAYS))),
+        "state": F.when(F.col("o_state").isNotNull() & F.col("f_state").isNotNull(), (F.col("o_state") == F.col("f_state")).cast("double")),
+        "rivals": F.col("rivals"),
     }
-    got = reduce(lambda x, y: x + y, [F.coalesce(dice[k], F.lit(0.35)) * w for k, w in FIELD_WEIGHTS.items()])
-    return one.filter(possible).select(F.col("o").alias("organization_id"), F.col("f").alias("political_organization_527_id"), (got / sum(FIELD_WEIGHTS.values())).alias("score"), witness.alias("witness"))
+    got = reduce(lambda x, y: x + y, [F.coalesce(dice[k], F.lit(UNKNOWN)) * w for k, w in FIELD_WEIGHTS.items()])
+    witness = F.when(F.col("o_ein").isNotNull() & F.col("f_ein").isNotNull(), (F.col("o_ein") == F.col("f_ein")).cast("int"))
+    return one.select(F.col("o").alias("organization_id"), F.col("f").alias("political_organization_527_id"), (got / sum(FIELD_WEIGHTS.values())).alias("score"), witness.alias("witness"))
 
 
-def calibrate(bins: list[tuple[int, int, int]]) -> list[float]:
-    """Confidence per score bin from (bin, pairs with both EINs, pairs with equal EINs).
+def _with_rivals(pairs: DataFrame) -> DataFrame:
+    """Adds ``rivals``: 1 for pairs that town or date place, else less the more places could claim the body.
 
-    The share of equal EINs is divided by what sure pairs reach, smoothed by a prior that
-    rises with the score, and made monotone by pooling adjacent violators.
+    A body whose town is unknown, but which town or date places elsewhere, stands there; the
+    other registrations of its name are other bodies. A registration that has a placed
+    partner is hardly the one a body of unknown place means.
+    """
+    good = F.col("placed") & (F.col("words") > 0.5)
+    of_o = pairs.groupBy("o").agg(F.max(F.when(good, F.col("f_town"))).alias("settled"), F.count_distinct(F.when(~F.col("placed"), F.col("f_town"))).alias("places"))
+    of_f = pairs.groupBy("f").agg(F.max(F.when(good, 1)).alias("partner"), F.max(F.when(good, F.col("o_town"))).alias("f_settled"))
+    seen = pairs.join(of_o, "o").join(of_f, "f")
+    elsewhere = (F.coalesce("settled", F.lit("")) != "") & (F.col("f_town") != "") & (F.col("settled") != F.col("f_town"))
+    elsewhere_f = (F.coalesce("f_settled", F.lit("")) != "") & (F.col("o_town") != "") & (F.col("f_settled") != F.col("o_town"))
+    at_home = F.coalesce((F.col("settled") != "") & (F.col("settled") == F.col("f_town")), F.lit(False))
+    weak = F.when(elsewhere | elsewhere_f, F.lit(0.0)).when(at_home, F.lit(0.9)).when(F.col("partner").isNotNull(), F.lit(0.0)).otherwise(0.9 / F.greatest(F.col("places"), F.lit(1)))
+    return seen.withColumn("rivals", F.when(F.col("placed"), F.lit(1.0)).otherwise(weak)).drop("settled", "places", "partner", "f_settled")
+
+
+def calibrate(bins: list[tuple[int, int, int]]) -> tuple[list[float], float]:
+    """Confidence at the middle of each score bin, and the EIN agreement of sure pairs, from (bin, pairs with both EINs, pairs with equal EINs).
+
+    The share of equal EINs is divided by what the surest pairs reach, smoothed by a prior
+    that rises with the score, and made monotone by pooling adjacent violators.
     """
     seen = {b: (n, e) for b, n, e in bins}
-    top_n = sum(n for b, (n, e) in seen.items() if b >= BINS - 3)
-    top_e = sum(e for b, (n, e) in seen.items() if b >= BINS - 3)
+    top_n = sum(n for b, (n, e) in seen.items() if b >= BINS - BINS // 5)
+    top_e = sum(e for b, (n, e) in seen.items() if b >= BINS - BINS // 5)
     sure = (top_e + 0.85 * PRIOR) / (top_n + PRIOR)
     blocks: list[list[float]] = []
     for b in range(BINS):
         n, e = seen.get(b, (0, 0))
-        prior = (b + 0.5) / BINS
+        prior = max(0.01, min(0.98, ((b + 0.5) / BINS - 0.5) / 0.4))
         value = (min(1.0, e / n / sure) * n if n else 0.0) + prior * PRIOR
         blocks.append([value, n + PRIOR, 1])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] > blocks[-1][0] / blocks[-1][1]:
             v, w, k = blocks.pop()
             blocks[-1] = [blocks[-1][0] + v, blocks[-1][1] + w, blocks[-1][2] + k]
-    return [min(0.999, v / w) for v, w, k in blocks for _ in range(int(k))]
+    return [min(0.999, v / w) for v, w, k in blocks for _ in range(int(k))], sure
 
 
-def matches(organization: DataFrame, address: DataFrame, political: DataFrame) -> DataFrame:
-    """(organization_id, political_organization_527_id, confidence) of every matching pair."""
-    pairs = materialize(scored_pairs(organization, address, political), "scored")
+def confidence(score: Column, witness: Column, levels: list[float], sure: float) -> Column:
+    """Calibrated confidence, straight between the middles of the bins, updated by the pair's own EINs."""
+    at = F.least(F.greatest(score * BINS - 0.5, F.lit(0.0)), F.lit(BINS - 1.0))
+    low = F.floor(at).cast("int")
+    level = F.array(*[F.lit(x) for x in [*levels, levels[-1]]])
+    p = F.get(level, low) + (at - low) * (F.get(level, low + 1) - F.get(level, low))
+    ratio = F.when(witness == 1, F.lit(sure / CHANCE)).when(witness == 0, F.lit((1 - min(sure, 0.98)) / (1 - CHANCE))).otherwise(F.lit(1.0))
+    return p * ratio / (p * ratio + 1 - p)
+
+
+def _bins(pairs: DataFrame, *by: str) -> DataFrame:
     slot = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
-    counted = pairs.filter("witness is not null").groupBy(slot.alias("bin")).agg(F.count("*").alias("n"), F.sum("witness").alias("e")).collect()  # at most BINS rows
-    levels = calibrate([(r["bin"], r["n"], r["e"]) for r in counted])
-    return pairs.select("organization_id", "political_organization_527_id", F.round(F.element_at(F.array(*[F.lit(x) for x in levels]), slot + 1), 4).alias("confidence"))
+    return pairs.filter("witness is not null").groupBy(*by, slot.alias("bin")).agg(F.count("*").alias("n"), F.sum("witness").alias("e"))
+
+
+def all_pairs(organization: DataFrame, address: DataFrame, political: DataFrame) -> DataFrame:
+    """(organization_id, political_organization_527_id, confidence) of every pair that town, date or state admits."""
+    pairs = materialize(scored_pairs(organization, address, political), "scored")
+    levels, sure = calibrate([(r["bin"], r["n"], r["e"]) for r in _bins(pairs).collect()])  # at most BINS rows
+    return pairs.select("organization_id", "political_organization_527_id", F.round(confidence(F.col("score"), F.col("witness"), levels, sure), 4).alias("confidence"))
+
+
+def matches(organization: DataFrame, address: DataFrame, political: DataFrame) -> DataFrame:
+    """The pairs of at least ``LEAST`` confidence."""
+    return all_pairs(organization, address, political).filter(F.col("confidence") >= LEAST)
+
+
+def reliability(organization: DataFrame, address: DataFrame, political: DataFrame) -> DataFrame:
+    """(decile, pairs, expected, agreeing): held-out check of the calibration.
+
+    Half of the pairs (by hash) calibrate, without the pairs' own EINs; in the other half the
+    agreement of EINs, in terms of what sure pairs reach, is set beside the mean confidence.
+    """
+    pairs = materialize(scored_pairs(organization, address, political), "scored").withColumn("half", F.pmod(F.xxhash64("organization_id"), F.lit(2)))
+    levels, sure = calibrate([(r["bin"], r["n"], r["e"]) for r in _bins(pairs.filter("half = 0")).collect()])
+    held = pairs.filter("half = 1 and witness is not null").withColumn("p", confidence(F.col("score"), F.lit(None).cast("int"), levels, sure))
+    return held.groupBy(F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("int").alias("decile")).agg(F.count("*").alias("pairs"), F.round(F.avg("p"), 4).alias("expected"), F.round(F.least(F.avg("witness") / sure, F.lit(1.0)), 4).alias("agreeing"))

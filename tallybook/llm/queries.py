@@ -17,6 +17,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return name_matching.same_names(table(spark, d, "donor_er_view"), table(spark, d, "ownership"), table(spark, d, "real_transaction_export_adams"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each named record with its class of equal forms and the number of linked classes."""
+    return name_matching.name_classes(table(spark, d, "donor_er_view"), table(spark, d, "ownership"), table(spark, d, "real_transaction_export_adams"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return components.person_groups(table(spark, d, "person_absorption"))
 
@@ -35,13 +40,22 @@ def p6_decisions(spark: SparkSession, d: str) -> DataFrame:
     return fusion.decisions(table(spark, d, "person"), table(spark, d, "person_absorption"))
 
 
+def _bodies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "organization"), table(spark, d, "address"), table(spark, d, "political_organization_527")
+
+
 def p7_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Matching pairs with their confidence."""
-    return org_matching.matches(table(spark, d, "organization"), table(spark, d, "address"), table(spark, d, "political_organization_527"))
+    """Every pair that town, date or state admits, with its confidence."""
+    return org_matching.all_pairs(*_bodies(spark, d))
+
+
+def p7_reliability(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out agreement of the EINs beside the confidence."""
+    return org_matching.reliability(*_bodies(spark, d))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_matches(spark, d).filter("confidence >= 0.5").select("organization_id", "political_organization_527_id")
+    return org_matching.matches(*_bodies(spark, d)).select("organization_id", "political_organization_527_id")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +74,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p6_found, p6_fused, p6_decisions, p7_found, p7_matches, p8_ids, p9_found, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_classes, p5_found, p6_found, p6_fused, p6_decisions, p7_found, p7_matches, p7_reliability, p8_ids, p9_found, p10_found, p10_rates)}
 
 SQL = {
     "p5_found": """
