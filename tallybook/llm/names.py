@@ -137,7 +137,7 @@ def read_name(text: str | None, org_tokens: set[str] | frozenset[str] = frozense
             return NOBODY
         readings.append((toks[0], toks[-1], *toks[1:-1]))
         readings.append((toks[1], toks[0], *toks[2:]))
-        if len(toks) > 2 and len(toks[-2]) > 1:
+        if len(toks) > 2 and min(len(toks[-2]), len(toks[-1])) > 1:
             readings.append((toks[0], " ".join(toks[-2:]), *toks[1:-2]))
         if len(toks) > 2 and len(toks[1]) > 1:
             readings.append((toks[2], " ".join(toks[:2]), *toks[3:]))
@@ -165,12 +165,11 @@ def fulls(first: str) -> frozenset[str]:
 
 def clipped(short: str, full: str) -> bool:
     """Whether a short form is the beginning of a name (an ending -Y or -IE aside) or its end."""
-    if len(full) < len(short) + 2 or len(short) < 3:
+    if len(full) < len(short) + 2 or len(short) < 4:
         return False
     stem = re.sub(r"(Y|IE|EY|I)$", "", short)
-    if len(stem) > 3 and stem[-1] == stem[-2]:
-        stem = stem[:-1]
-    return full.startswith(short) or (len(stem) > 2 and full.startswith(stem)) or (len(short) > 3 and full.endswith(short))
+    doubled = len(stem) > 3 and stem[-1] == stem[-2]
+    return full.startswith(short) or full.endswith(short) or (doubled and full.startswith(stem[:-1])) or (len(stem) > 3 and full.startswith(stem))
 
 
 @lru_cache(maxsize=200_000)

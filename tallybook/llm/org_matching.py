@@ -11,8 +11,8 @@ occurs, and bodies only meet where they could be the same. Initials are keys ali
 Each candidate gets Dice scores of its fields (name bits, weighted words, town,
 address, date, state, and how few rivals it has); their weighted mean is turned into a
 confidence by a monotone calibration against EIN agreement. The EIN neither admits nor
-scores a pair: the calibration counts pairs that were found without it. Where a pair's
-own EINs are known, the confidence is then updated by how often the EINs of sure
+scores a pair, and each half of the organisations is calibrated on the other half, so no
+pair vouches for itself. Where a pair's own EINs are known, the confidence is then updated by how often the EINs of sure
 pairs agree and how often those of chance pairs do (Bayes' rule).
 
 Edge cases: null, blank and placeholder names match nothing; bodies with known towns
@@ -46,8 +46,8 @@ RADIUS, SEGMENTS, WIDTH, DAYS = 8, 10, 24, 92
 BITS = SEGMENTS * WIDTH
 #: Weights of the fields' Dice scores, the score of an unknown field, bins and prior strength of the calibration, least confidence of a match.
 FIELD_WEIGHTS, UNKNOWN, BINS, PRIOR, LEAST = {"bits": 2.0, "words": 5.0, "town": 2.0, "address": 1.0, "date": 3.0, "state": 1.0, "rivals": 3.0}, 0.35, 20, 8.0, 0.5
-#: How often two different bodies have one EIN.
-CHANCE = 0.01
+#: Misfit of two names' words that leaves nothing of their score. How often two different bodies have one EIN.
+MISFIT, CHANCE = 0.25, 0.01
 _PAIRS = list(combinations(range(SEGMENTS), 2))
 
 
@@ -104,7 +104,7 @@ def _likeness(counts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             for s in "ab":
                 parts = zip(*[batch.column(f"{s}_{c}").to_pylist() for c in _SIDE])
                 sides.append([Name(k, f, (tuple(w), tuple(i)) if k == "O" else (tuple(w),)) for k, f, w, i in parts])
-            words = [max(0.0, org_likeness(a, b, weight)) for a, b in zip(*sides)]
+            words = [max(0.0, 1 - (1 - org_likeness(a, b, weight)) / MISFIT) for a, b in zip(*sides)]
             yield pa.record_batch([*[batch.column(c) for c in ("o", "f", "bits_dice")], pa.array(words, pa.float64())], ["o", "f", "bits", "words"])
 
     return run
@@ -272,16 +272,21 @@ def confidence(score: Column, witness: Column, levels: list[float], sure: float)
     return p * ratio / (p * ratio + 1 - p)
 
 
-def _bins(pairs: DataFrame, *by: str) -> DataFrame:
+def _fitted(pairs: DataFrame, own_ein: bool) -> tuple[DataFrame, Column]:
+    """The pairs with ``p``, and the agreement of sure pairs: each half of the organisations is calibrated on the other half, so no pair vouches for itself."""
+    half = F.pmod(F.xxhash64("organization_id"), F.lit(2))
     slot = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
-    return pairs.filter("witness is not null").groupBy(*by, slot.alias("bin")).agg(F.count("*").alias("n"), F.sum("witness").alias("e"))
+    rows = pairs.filter("witness is not null").groupBy(half.alias("half"), slot.alias("bin")).agg(F.count("*").alias("n"), F.sum("witness").alias("e")).collect()  # at most twice BINS rows
+    fits = [calibrate([(r["bin"], r["n"], r["e"]) for r in rows if r["half"] != h]) for h in (0, 1)]
+    witness = F.col("witness") if own_ein else F.lit(None).cast("int")
+    p, sure = (F.when(half == 0, x).otherwise(y) for x, y in (tuple(confidence(F.col("score"), witness, *f) for f in fits), tuple(F.lit(f[1]) for f in fits)))
+    return pairs.withColumn("p", p), sure
 
 
 def all_pairs(organization: DataFrame, address: DataFrame, political: DataFrame) -> DataFrame:
     """(organization_id, political_organization_527_id, confidence) of every pair that town, date or state admits."""
-    pairs = materialize(scored_pairs(organization, address, political), "scored")
-    levels, sure = calibrate([(r["bin"], r["n"], r["e"]) for r in _bins(pairs).collect()])  # at most BINS rows
-    return pairs.select("organization_id", "political_organization_527_id", F.round(confidence(F.col("score"), F.col("witness"), levels, sure), 4).alias("confidence"))
+    pairs, _ = _fitted(materialize(scored_pairs(organization, address, political), "scored"), own_ein=True)
+    return pairs.select("organization_id", "political_organization_527_id", F.round("p", 4).alias("confidence"))
 
 
 def matches(organization: DataFrame, address: DataFrame, political: DataFrame) -> DataFrame:
@@ -292,10 +297,9 @@ def matches(organization: DataFrame, address: DataFrame, political: DataFrame) -
 def reliability(organization: DataFrame, address: DataFrame, political: DataFrame) -> DataFrame:
     """(decile, pairs, expected, agreeing): held-out check of the calibration.
 
-    Half of the pairs (by hash) calibrate, without the pairs' own EINs; in the other half the
-    agreement of EINs, in terms of what sure pairs reach, is set beside the mean confidence.
+    The agreement of EINs, in terms of what sure pairs reach, beside the mean confidence
+    that the other half of the organisations gives the pair without its own EINs.
     """
-    pairs = materialize(scored_pairs(organization, address, political), "scored").withColumn("half", F.pmod(F.xxhash64("organization_id"), F.lit(2)))
-    levels, sure = calibrate([(r["bin"], r["n"], r["e"]) for r in _bins(pairs.filter("half = 0")).collect()])
-    held = pairs.filter("half = 1 and witness is not null").withColumn("p", confidence(F.col("score"), F.lit(None).cast("int"), levels, sure))
-    return held.groupBy(F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("int").alias("decile")).agg(F.count("*").alias("pairs"), F.round(F.avg("p"), 4).alias("expected"), F.round(F.least(F.avg("witness") / sure, F.lit(1.0)), 4).alias("agreeing"))
+    pairs, sure = _fitted(materialize(scored_pairs(organization, address, political), "scored"), own_ein=False)
+    held = pairs.filter("witness is not null").withColumn("sure", sure)
+    return held.groupBy(F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("int").alias("decile")).agg(F.count("*").alias("pairs"), F.round(F.avg("p"), 4).alias("expected"), F.round(F.least(F.avg(F.col("witness") / F.col("sure")), F.lit(1.0)), 4).alias("agreeing"))

@@ -32,6 +32,7 @@ STATES = {
     "NEW HAMPSHIRE": "NH", "NEW JERSEY": "NJ", "NEW MEXICO": "NM", "NEW YORK": "NY", "NORTH CAROLINA": "NC", "NORTH DAKOTA": "ND", "OHIO": "OH", "OKLAHOMA": "OK",
     "OREGON": "OR", "PENNSYLVANIA": "PA", "RHODE ISLAND": "RI", "SOUTH CAROLINA": "SC", "SOUTH DAKOTA": "SD", "TENNESSEE": "TN", "TEXAS": "TX", "UTAH": "UT", "VERMONT": "VT",
     "VIRGINIA": "VA", "WASHINGTON": "WA", "WEST VIRGINIA": "WV", "WISCONSIN": "WI", "WYOMING": "WY", "DISTRICT OF COLUMBIA": "DC",
+    "PUERTO RICO": "PR", "GUAM": "GU", "VIRGIN ISLANDS": "VI", "AMERICAN SAMOA": "AS", "NORTHERN MARIANA ISLANDS": "MP",
 }
 _CODES = set(STATES.values())
 _BOX = re.compile(r"\b(?:P ?O ?BOX|POB|POST OFFICE BOX|P ?O ?B|BOX)\s*#?\s*(\d+)\b")
@@ -216,12 +217,13 @@ def read_place(text: str | None, towns: Gazetteer, city: str | None = None, stat
     return Place(number.lstrip("0"), box, unit, direction, name, kind, town, state_code if len(state_code) == 2 else "", zip5)
 
 
-#: Costs of the affine-gap alignment of street words: opening and extending a gap, a misspelt word, another word.
-OPEN, EXTEND, TYPO, OTHER, LIMIT = 1.6, 0.8, 0.5, 4.0, 1.01
+#: Costs of the affine-gap alignment of an address line: opening a gap; the name's words left out, shared among them; another
+#: part left out; a misspelt word; two neighbours the other way round; another word; and what two lines of one place may cost.
+OPEN, NAME_GAP, PART_GAP, TYPO, SWAP, OTHER, LIMIT = 0.1, 2.0, 0.05, 0.3, 0.4, 4.0, 0.96
 
 
 def word_cost(a: str, b: str) -> float:
-    """Substitution cost of two words; abbreviations of one word cost nothing."""
+    """Substitution cost of two words of a street's name; abbreviations of one word cost nothing."""
     if a == b or WORDS.get(a, a) == WORDS.get(b, b):
         return 0.0
     if a[0].isdigit() or b[0].isdigit():
@@ -233,28 +235,48 @@ def word_cost(a: str, b: str) -> float:
     return OTHER
 
 
-def align(a: list[str], b: list[str]) -> float:
-    """Cost of the cheapest affine-gap alignment of two word lists."""
+def line(place: Place) -> list[tuple[str, str]]:
+    """The words of an address, each with the part it belongs to: direction, name, street type, unit."""
+    words = [("N", w) for w in place.street.split()]
+    return [("D", place.direction)] * bool(place.direction) + words + [("T", place.kind)] * bool(place.kind) + [("U", place.unit)] * bool(place.unit)
+
+
+def token_cost(a: tuple[str, str], b: tuple[str, str]) -> float:
+    """Substitution cost of two tagged words: only like parts replace each other, and only names may be misspelt."""
+    if a[0] != b[0]:
+        return OTHER
+    return word_cost(a[1], b[1]) if a[0] == "N" else 0.0 if a[1] == b[1] else OTHER
+
+
+def align(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> float:
+    """Cost of the cheapest affine-gap alignment of two lines of tagged words."""
+    if a == b:
+        return 0.0
     inf = float("inf")
     rows, cols = len(a) + 1, len(b) + 1
     best = [[inf] * cols for _ in range(rows)]
     gap_a = [[inf] * cols for _ in range(rows)]
     gap_b = [[inf] * cols for _ in range(rows)]
     best[0][0] = 0.0
+    # a part that both lines have is not left out; a name of one or two words does not stand without one of them, a longer one may
+    left_out = [[NAME_GAP / sum(t == "N" for t, _ in side) if tag == "N" else OTHER if any(tag == t for t, _ in other) else PART_GAP for tag, _ in side] for side, other in ((a, b), (b, a))]
     for i in range(rows):
         for j in range(cols):
+            here = best[i][j]
             if i:
-                gap_a[i][j] = min(best[i - 1][j] + OPEN, gap_a[i - 1][j] + EXTEND)
+                gap_a[i][j] = min(best[i - 1][j] + OPEN, gap_a[i - 1][j]) + left_out[0][i - 1]
             if j:
-                gap_b[i][j] = min(best[i][j - 1] + OPEN, gap_b[i][j - 1] + EXTEND)
+                gap_b[i][j] = min(best[i][j - 1] + OPEN, gap_b[i][j - 1]) + left_out[1][j - 1]
             if i and j:
-                best[i][j] = min(best[i][j], best[i - 1][j - 1] + word_cost(a[i - 1], b[j - 1]))
-                # a word split in two, or two words run together
-                if i > 1:
-                    best[i][j] = min(best[i][j], best[i - 2][j - 1] + min(word_cost(a[i - 2] + a[i - 1], b[j - 1]), OTHER))
-                if j > 1:
-                    best[i][j] = min(best[i][j], best[i - 1][j - 2] + min(word_cost(a[i - 1], b[j - 2] + b[j - 1]), OTHER))
-            best[i][j] = min(best[i][j], gap_a[i][j], gap_b[i][j])
+                here = min(here, best[i - 1][j - 1] + token_cost(a[i - 1], b[j - 1]))
+                # a word split in two, two words run together, two words the other way round
+                if i > 1 and a[i - 2][0] == a[i - 1][0] == b[j - 1][0] == "N":
+                    here = min(here, best[i - 2][j - 1] + word_cost(a[i - 2][1] + a[i - 1][1], b[j - 1][1]))
+                if j > 1 and b[j - 2][0] == b[j - 1][0] == a[i - 1][0] == "N":
+                    here = min(here, best[i - 1][j - 2] + word_cost(a[i - 1][1], b[j - 2][1] + b[j - 1][1]))
+                if i > 1 and j > 1:
+                    here = min(here, best[i - 2][j - 2] + SWAP + token_cost(a[i - 2], b[j - 1]) + token_cost(a[i - 1], b[j - 2]))
+            best[i][j] = min(here, gap_a[i][j], gap_b[i][j])
     return best[-1][-1]
 
 
@@ -268,13 +290,9 @@ def same_town(a: Place, b: Place) -> bool:
 
 
 def same_place(a: Place, b: Place) -> bool:
-    """Whether two addresses name one place; parts left out do not contradict."""
+    """Whether two addresses name one place: the same number or box and town, and lines that align; parts left out cost little."""
     if a.box != b.box or (not a.box and (a.number != b.number or not a.number)):
         return False
     if not same_town(a, b):
         return False
-    if a.box:
-        return True
-    if any(x and y and x != y for x, y in ((a.unit, b.unit), (a.direction, b.direction), (a.kind, b.kind))):
-        return False
-    return bool(a.street and b.street) and align(a.street.split(), b.street.split()) <= LIMIT
+    return bool(a.box) or (bool(a.street and b.street) and align(line(a), line(b)) <= LIMIT)

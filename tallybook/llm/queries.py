@@ -13,6 +13,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_places(table(spark, d, "address"), table(spark, d, "ownership"), table(spark, d, "real_transaction_export_adams"))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each record that names a place with its class of equal forms and the number of linked classes."""
+    return addresses.place_classes(table(spark, d, "address"), table(spark, d, "ownership"), table(spark, d, "real_transaction_export_adams"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return name_matching.same_names(table(spark, d, "donor_er_view"), table(spark, d, "ownership"), table(spark, d, "real_transaction_export_adams"))
 
@@ -74,7 +79,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p4_classes, p5_found, p6_found, p6_fused, p6_decisions, p7_found, p7_matches, p7_reliability, p8_ids, p9_found, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_classes, p5_found, p6_found, p6_fused, p6_decisions, p7_found, p7_matches, p7_reliability, p8_ids, p9_found, p10_found, p10_rates)}
 
 SQL = {
     "p5_found": """

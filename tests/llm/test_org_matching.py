@@ -7,20 +7,41 @@ ORG = "id string, canonical_name string, name_variants array<string>, identifier
 FILED = "id string, name string, ein string, established_date date, mailing_address_1 string, mailing_address_2 string, mailing_address_city string, mailing_address_state string, mailing_address_zip string, business_address_1 string, business_address_2 string, business_address_city string, business_address_state string, business_address_zip string, date date"
 
 
-def test_index_finds_every_close_pair():
+def test_index_finds_every_close_pair(spark):
+    from pyspark.sql import functions as F
+
     rng = random.Random(8)
-    for _ in range(400):
-        a = rng.getrandbits(O.WORDS * O.WORD_BITS)
-        b = a
-        for k in rng.sample(range(O.WORDS * O.WORD_BITS), rng.randrange(0, O.RADIUS + 1)):
-            b ^= 1 << k
-        assert set(O.index_keys(a)) & set(O.index_keys(b))
+    rows = []
+    for _ in range(200):
+        a = [rng.getrandbits(O.WIDTH) for _ in range(O.SEGMENTS)]
+        b = list(a)
+        for k in rng.sample(range(O.BITS), rng.randrange(0, O.RADIUS + 1)):
+            b[k // O.WIDTH] ^= 1 << k % O.WIDTH
+        rows.append((a, b))
+    frame = spark.createDataFrame(rows, "a array<int>, b array<int>")
+    keys = [O.index_keys(F.col(c), F.lit("Ttown")) for c in "ab"]
+    assert frame.filter(F.arrays_overlap(*keys)).count() == 200
+    assert frame.filter(F.arrays_overlap(keys[0], O.index_keys(F.col("a"), F.lit("Tother")))).count() == 0
+
+
+def test_vectors_of_one_edit_are_close():
+    a, b = O.encode(("OAK", "TIMBER")), O.encode(("TIMBRE", "OAK"))
+    assert sum((x ^ y).bit_count() for x, y in zip(a, b)) <= O.RADIUS and O.encode(("OAK", "TIMBER")) == O.encode(("TIMBER", "OAK"))
 
 
 def test_calibration_is_monotone():
-    levels = O.calibrate([(3, 50, 5), (6, 40, 30), (7, 100, 60), (9, 200, 170)])
-    assert len(levels) == O.BINS and levels == sorted(levels) and 0 <= levels[0] and levels[-1] < 1
-    assert len(O.calibrate([])) == O.BINS
+    levels, sure = O.calibrate([(3, 50, 5), (9, 40, 30), (14, 100, 60), (19, 200, 170)])
+    assert len(levels) == O.BINS and levels == sorted(levels) and 0 <= levels[0] and levels[-1] < 1 and 0.8 < sure < 0.9
+    assert len(O.calibrate([])[0]) == O.BINS
+
+
+def test_own_ein_updates_the_confidence(spark):
+    from pyspark.sql import functions as F
+
+    levels, sure = O.calibrate([])
+    frame = spark.createDataFrame([(0.7, 1), (0.7, 0), (0.7, None), (0.71, None)], "score double, witness int")
+    equal, other, unknown, higher = [r["c"] for r in frame.select(O.confidence(F.col("score"), F.col("witness"), levels, sure).alias("c")).collect()]
+    assert other < unknown < higher < equal
 
 
 def _tables(spark):
