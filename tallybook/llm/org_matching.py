@@ -153,32 +153,42 @@ def bodies(organization: DataFrame, address: DataFrame, political: DataFrame, to
 _BODY = ("id", "town", "state", "spot", "date", "ein")
 
 
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r): rows of both sides, by ``row``, whose names are close or initials of each other, in one town, quarter or state."""
-    slot = F.floor(F.unix_date("date") / DAYS)
-    town, undated = F.nullif("town", F.lit("")), F.col("date").isNull()
+def _keyed(side: DataFrame, attributes: list[Column], left: bool) -> DataFrame:
+    """(key, row, v0..): a side's index, one row per attribute and pair of segments (even keys) or initials (odd keys).
+
+    Initials are looked up across: a name that is itself initials meets the spelt-out names
+    of the other side under role 0 (left initials) or 1 (right initials).
+    """
+    s = "l" if left else "r"
+    one = side.select("row", "kind", "bits", "initials", F.explode(F.array_compact(F.array(*attributes))).alias("attribute"))
+    roles = F.when(F.col("kind") == "A", F.array(*[F.lit(i) for i in ((0,) if left else (0, 1))])).otherwise(F.array(F.lit(1 if left else 0)))
+    spelt = F.flatten(F.transform(roles, lambda r: F.transform("initials", lambda i: F.xxhash64(F.col("attribute"), F.lit("initials"), r, i))))
+    packed = [(F.get("bits", F.lit(2 * i)).cast("long") + F.shiftleft(F.get("bits", F.lit(2 * i + 1)).cast("long"), WIDTH)).alias(f"{s}{i}") for i in range(SEGMENTS // 2)]
+    return one.select(F.explode(F.concat(F.transform(index_keys(F.col("bits"), F.col("attribute")), lambda k: k.bitwiseAND(F.lit(-2))), F.transform(spelt, lambda k: k.bitwiseOR(F.lit(1))))).alias(f"{s}key"), F.col("row").alias(s), *packed)
 
-    def keyed(side: DataFrame, where: Column, attributes: Column, s: str) -> DataFrame:
-        one = side.filter(where).select("row", "kind", "bits", "initials", F.explode(F.array_compact(attributes)).alias("attribute"))
-        ini = F.transform("initials", lambda i: F.xxhash64(F.col("attribute"), i))
-        keys = F.concat(F.transform(index_keys(F.col("bits"), F.col("attribute")), lambda k: F.struct(k.alias("key"), F.lit(False).alias("ini"))), F.transform(ini, lambda k: F.struct(k.alias("key"), F.lit(True).alias("ini"))))
-        flat = one.select("row", "kind", "bits", F.explode(keys).alias("k"))
-        return flat.select(F.col("k.key").alias(f"{s}key"), F.col("k.ini").alias(f"{s}ini"), F.col("row").alias(s), F.col("kind").alias(f"{s}kind"), *[F.get("bits", F.lit(i)).alias(f"{s}{i}") for i in range(SEGMENTS)])
 
+def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r): rows of both sides, by ``row``, whose names are close or initials of each other, in one town, quarter or state.
+
+    Rows of known town meet in the town. A row of unknown town meets the other side's rows
+    of its quarter, of the next and the last; where one of the two has no date, those of its
+    state. The attributes of such meetings are made only if a side has a row without town.
+    """
+    slot = F.floor(F.unix_date("date") / DAYS)
+    town, dated = F.nullif("town", F.lit("")), F.col("date").isNotNull()
     tag = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
-    slots = lambda span: [tag("D", slot + i) for i in span]
-    # a state is a key only of rows that lack a date on one side: the undated meet all, the dated only the undated
-    state, all_ = tag("S", F.col("state")), F.lit(True)
-    undated_state, dated_state = F.when(undated, tag("U", F.col("state"))), F.when(~undated, tag("U", F.col("state")))
-    here = (keyed(left, town.isNotNull(), F.array(tag("T", town)), "l"), keyed(right, town.isNotNull(), F.array(tag("T", town)), "r"))
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"l{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(SEGMENTS)])
-    close = (~F.col("lini") & (apart <= RADIUS)) | (F.col("lini") & ((F.col("lkind") == "A") | (F.col("rkind") == "A")))
-    made = [here]
-    for a, b in ((town.isNull(), all_), (town.isNotNull(), town.isNull())):
-        made.append((keyed(left, a, F.array(*slots((-1, 0, 1)), F.when(undated, state), undated_state), "l"), keyed(right, b, F.array(*slots((0,)), F.when(undated, state), dated_state), "r")))
-        made.append((keyed(left, a, F.array(dated_state), "l"), keyed(right, b, F.array(undated_state), "r")))
-    joined = [x.join(y, (F.col("lkey") == F.col("rkey")) & (F.col("lini") == F.col("rini"))).filter(close).select("l", "r") for x, y in made]
-    return reduce(lambda x, y: x.unionByName(y), joined).distinct()
+    attributes: list[list[Column]] = [[tag("T", town)], [tag("T", town)]]
+    for k, (asking, limit) in enumerate(((left, 0), (right, 1))):
+        if not asking.filter("town = ''").take(1):
+            continue
+        lost = town.isNull()
+        attributes[limit] += [F.when(lost, tag(f"D{k}", slot + i)) for i in (-1, 0, 1)] + [F.when(lost, F.when(dated, tag(f"B{k}", F.col("state"))).otherwise(tag(f"A{k}", F.col("state"))))]
+        # a pair without both towns is asked for by its left row
+        other = F.lit(True) if k == 0 else town.isNotNull()
+        attributes[1 - limit] += [F.when(other, tag(f"D{k}", slot)), F.when(other, tag(f"A{k}", F.col("state"))), F.when(other & ~dated, tag(f"B{k}", F.col("state")))]
+    x, y = _keyed(left, attributes[0], True), _keyed(right, attributes[1], False)
+    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"l{i}").bitwiseXOR(F.col(f"r{i}"))) for i in range(SEGMENTS // 2)])
+    return x.join(y, F.col("lkey") == F.col("rkey")).filter((apart <= RADIUS) | (F.col("lkey").bitwiseAND(F.lit(1)) == 1)).select("l", "r").distinct()
 
 
 def scored_pairs(organization: DataFrame, address: DataFrame, political: DataFrame) -> DataFrame:
