@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tallybook.queries import finance, records
+from tallybook.queries import candidates, finance, records
 
-QUERIES = finance.C.queries | records.C.queries
-SQL = finance.C.sql | records.C.sql
+_PARTS = (finance, records, candidates)
+QUERIES = {name: query for part in _PARTS for name, query in part.C.queries.items()}
+SQL = {name: text for part in _PARTS for name, text in part.C.sql.items()}
