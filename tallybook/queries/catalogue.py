@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallybook.queries import candidates, finance, records
+from tallybook.queries import candidates, finance, records, upserts
 
-_PARTS = (finance, records, candidates)
+_PARTS = (finance, records, candidates, upserts)
 QUERIES = {name: query for part in _PARTS for name, query in part.C.queries.items()}
 SQL = {name: text for part in _PARTS for name, text in part.C.sql.items()}
