@@ -42,9 +42,9 @@ def _typed(layout: Layout, name: str) -> Column:
     return c.alias(name)
 
 
-def read_lines(spark: SparkSession, path: str, layout: Layout) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected) of an unquoted delimited file; a wrong number of fields rejects a line."""
-    lines = raw_lines(spark, path, layout.encoding).select(F.regexp_replace("value", "\r$", "").alias("line")).filter("line != ''")
+def parse_lines(lines: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of the lines in ``value``; a wrong number of fields rejects a line."""
+    lines = lines.select(F.regexp_replace("value", "\r$", "").alias("line")).filter("line != ''")
     parts = lines.select("line", F.split("line", r"\Q" + layout.delimiter + r"\E", -1).alias("p"))
     n = len(layout.columns)
     if layout.trailing_delimiter:
@@ -56,6 +56,11 @@ def read_lines(spark: SparkSession, path: str, layout: Layout) -> tuple[DataFram
     return good.select(*[_typed(layout, c) for c in layout.columns]), rejected
 
 
+def read_lines(spark: SparkSession, path: str, layout: Layout) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of an unquoted delimited file."""
+    return parse_lines(raw_lines(spark, path, layout.encoding), layout)
+
+
 def read_csv(spark: SparkSession, path: str, layout: Layout) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected) of a quoted file with a header that must name the layout's columns; ragged rows are rejected."""
     first = raw_lines(spark, path, layout.encoding).first()
@@ -69,17 +74,28 @@ def read_csv(spark: SparkSession, path: str, layout: Layout) -> tuple[DataFrame,
     return raw.filter("_corrupt is null").select(*[_typed(layout, c) for c in layout.columns]), rejected
 
 
-def read_records(spark: SparkSession, path: str, layouts: dict[str, Layout]) -> dict[str, DataFrame]:
-    """One table per record type of a file whose first field names the type; other types are ignored,
-    rows of less than half the width are rejected, short rows are padded with nulls."""
+def parse_records(lines: DataFrame, layouts: dict[str, Layout]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """One table per record type of lines whose first field names the type, and the rejected lines with the reason.
+
+    Rows of at least half the width are padded with nulls; shorter ones, unknown types and
+    rows with more fields than columns are rejected.
+    """
     any_ = next(iter(layouts.values()))
-    lines = raw_lines(spark, path, any_.encoding).select(F.split("value", r"\Q" + any_.delimiter + r"\E", -1).alias("p"))
-    out = {}
-    for kind, layout in layouts.items():
+    parts = lines.filter("value != ''").select(F.col("value").alias("line"), F.split("value", r"\Q" + any_.delimiter + r"\E", -1).alias("p"))
+    kind, size = F.get("p", F.lit(0)), F.size("p")
+    out, reason = {}, F.lit("unknown type")
+    for name, layout in layouts.items():
         n = len(layout.columns)
-        own = lines.filter((F.get("p", F.lit(0)) == kind) & (F.size("p") * 2 >= n))
-        out[kind] = own.select(*[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(layout.columns)]).select(*[_typed(layout, c) for c in layout.columns])
-    return out
+        width = n + int(layout.trailing_delimiter)
+        reason = F.when(kind == name, F.when(size * 2 < n, "short row").when(size > width, "surplus fields")).otherwise(reason)
+        own = parts.filter((kind == name) & (size * 2 >= n) & (size <= width))
+        out[name] = own.select(*[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(layout.columns)]).select(*[_typed(layout, c) for c in layout.columns])
+    return out, parts.select("line", reason.alias("reason")).filter("reason is not null")
+
+
+def read_records(spark: SparkSession, path: str, layouts: dict[str, Layout]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The record types of a file, and its rejected lines."""
+    return parse_records(raw_lines(spark, path, next(iter(layouts.values())).encoding), layouts)
 
 
 def skip_rows(rows: DataFrame, done: int, key: list[str]) -> DataFrame:

@@ -24,8 +24,9 @@ def test_csv(spark, tmp_path):
 
 def test_records(spark, tmp_path):
     (tmp_path / "c.txt").write_text("1|a|b\nA|x|y|z\nH|skip\nA|x\n")
-    out = delimited.read_records(spark, str(tmp_path / "c.txt"), {"1": delimited.Layout(("t", "p", "q")), "A": delimited.Layout(("t", "p", "q", "r", "s"))})
+    out, rejected = delimited.read_records(spark, str(tmp_path / "c.txt"), {"1": delimited.Layout(("t", "p", "q")), "A": delimited.Layout(("t", "p", "q", "r", "s"))})
     assert out["1"].count() == 1 and [r["s"] for r in out["A"].collect()] == [None]
+    assert {(r["line"], r["reason"]) for r in rejected.collect()} == {("H|skip", "unknown type"), ("A|x", "short row")}
 
 
 def test_components(spark):
