@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallybook.queries import candidates, finance, records, texts, upserts
+from tallybook.queries import candidates, finance, records, resolution, texts, upserts
 
-_PARTS = (finance, records, candidates, upserts, texts)
+_PARTS = (finance, records, candidates, upserts, texts, resolution)
 QUERIES = {name: query for part in _PARTS for name, query in part.C.queries.items()}
 SQL = {name: text for part in _PARTS for name, text in part.C.sql.items()}
