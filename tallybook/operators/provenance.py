@@ -43,9 +43,16 @@ def merge_columns(rows: DataFrame, keys: list[str], order: list[str], keep_old:
     return out.filter("_k = 1").drop("_k")
 
 
+def canonical_json(fields: Column) -> Column:
+    """A map as JSON text with sorted keys and no blanks; null values are null, not empty."""
+    text = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    pairs = F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(text(e["key"]), F.lit(":"), text(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+
+
 def record_hash(fields: Column) -> Column:
-    """sha256 of a map as canonical text: keys sorted, one pair per line."""
-    return F.sha2(F.array_join(F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "\n"), 256)
+    """sha256 of the canonical JSON of a map."""
+    return F.sha2(canonical_json(fields), 256)
 
 
 def replace_partition(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

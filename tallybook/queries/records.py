@@ -50,7 +50,7 @@ def active_source_left(spark: SparkSession, d: str) -> DataFrame:
     return provenance.active_source(s.select("data_source_id", F.col("superseded_by").alias("link")), s.select("id", "superseded_by"), "link").groupBy("data_source_id").agg(F.count("*").alias("n"))
 
 
-@C.add("""SELECT id, sha256(array_to_string(list_transform(list_sort(list_transform(map_entries(raw_fields), lambda e: {'k': e.key, 'v': e.value})), lambda e: e.k || '=' || coalesce(e.v, '')), chr(10))) AS digest FROM source_record""")
+@C.add("""SELECT id, sha256('{' || array_to_string(list_transform(list_sort(list_transform(map_entries(raw_fields), lambda e: {'k': e.key, 'v': e.value})), lambda e: to_json(e.k) || ':' || coalesce(CAST(to_json(e.v) AS VARCHAR), 'null')), ',') || '}') AS digest FROM source_record""")
 def record_hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_record").select("id", provenance.record_hash(F.col("raw_fields")).alias("digest"))
 
@@ -97,11 +97,29 @@ def asof_latest_run(spark: SparkSession, d: str) -> DataFrame:
     return runs.filter(F.col("day") <= F.to_date(F.lit("2024-01-01"))).groupBy("data_source_id").agg(F.max("day").alias("latest"), F.min("day").alias("earliest"), F.count("*").alias("runs"))
 
 
-@C.add(f"""WITH {TX}, o AS (SELECT id, upper(owner_mail_city) AS town, owner_mail_state AS st, valid_from, valid_to FROM ownership), t AS (SELECT id, upper(city) AS town, state AS st, day FROM tx WHERE city IS NOT NULL AND day IS NOT NULL AND abs(amount) > 400)
+@C.add("""WITH runs AS (SELECT DISTINCT data_source_id AS s, CAST(pull_date AT TIME ZONE 'UTC' AS DATE) AS day FROM source_record), probes AS (SELECT id, data_source_id AS s, CAST(created_at AT TIME ZONE 'UTC' AS DATE) - 3 AS at FROM source_record WHERE created_at IS NOT NULL)
+SELECT p.id, p.at, r.day AS run FROM probes p ASOF LEFT JOIN runs r ON p.s = r.s AND p.at >= r.day""")
+def runs_asof_join(spark: SparkSession, d: str) -> DataFrame:
+    """The latest run at or before each probe: both sides in one window per source and year, runs of earlier years carried in.
+
+    A source with very many probes is split by year, so no task holds a whole source.
+    """
+    s = table(spark, d, "source_record")
+    runs = s.select(F.col("data_source_id").alias("s"), F.to_date("pull_date").alias("day")).distinct()
+    probes = s.filter("created_at is not null").select("id", F.col("data_source_id").alias("s"), F.date_sub(F.to_date("created_at"), 3).alias("at"))
+    both = probes.select("id", "s", "at", F.lit(None).cast("date").alias("run")).unionByName(runs.select(F.lit(None).cast("string").alias("id"), "s", F.col("day").alias("at"), F.col("day").alias("run"))).withColumn("y", F.year("at"))
+    w = W.partitionBy("s", "y").orderBy("at", F.col("run").isNull().cast("int"), "id").rowsBetween(W.unboundedPreceding, 0)
+    near = both.withColumn("run", F.last("run", ignorenulls=True).over(w)).filter("id is not null")
+    last = runs.groupBy("s", F.year("day").alias("y")).agg(F.max("day").alias("m"))  # a row per source and year
+    earlier = near.select("s", "y").distinct().join(last.withColumnRenamed("y", "z"), "s").filter("z < y").groupBy("s", "y").agg(F.max("m").alias("carried"))
+    return near.join(earlier, ["s", "y"], "left").select("id", "at", F.coalesce("run", "carried").alias("run"))
+
+
+@C.add(f"""WITH {TX}, o AS (SELECT id, upper(owner_mail_city) AS town, owner_mail_state AS st, valid_from, valid_to FROM ownership), t AS (SELECT id, upper(city) AS town, state AS st, day FROM tx WHERE city IS NOT NULL AND day IS NOT NULL)
 SELECT o.id AS owner_id, count(*) AS n, max(t.day) AS last_day FROM o JOIN t ON o.town = t.town AND o.st IS NOT DISTINCT FROM t.st AND (o.valid_from IS NULL OR o.valid_from <= t.day) AND (o.valid_to IS NULL OR t.day < o.valid_to) GROUP BY 1""")
 def interval_join(spark: SparkSession, d: str) -> DataFrame:
     """Equality keys (one null-safe) first, the interval as a residual; counts per town and day keep it small."""
-    t = transactions(spark, d).filter("city is not null and day is not null and abs(amount) > 400").groupBy(F.upper("city").alias("town"), F.col("state").alias("st"), "day").agg(F.count("*").alias("c"))
+    t = transactions(spark, d).filter("city is not null and day is not null").groupBy(F.upper("city").alias("town"), F.col("state").alias("st"), "day").agg(F.count("*").alias("c"))
     o = table(spark, d, "ownership").select(F.col("id").alias("owner_id"), F.upper("owner_mail_city").alias("t2"), F.col("owner_mail_state").alias("s2"), "valid_from", "valid_to")
     j = o.join(t, (F.col("t2") == F.col("town")) & F.col("s2").eqNullSafe(F.col("st")) & X.covers(F.col("valid_from"), F.col("valid_to"), F.col("day")))
     return j.groupBy("owner_id").agg(F.sum("c").alias("n"), F.max("day").alias("last_day"))
@@ -239,13 +257,15 @@ def raw_field_completeness(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "source_record").select(F.explode("raw_fields").alias("field", "v")).groupBy("field").agg(F.count("*").alias("n"), F.count(F.when(F.coalesce(F.trim("v"), F.lit("")) == "", 1)).alias("blank"))
 
 
-@C.add("""WITH g AS (SELECT suite, count(*) AS n, sum(n_words) AS hits FROM eval_items GROUP BY 1) SELECT suite, n, CAST(round((p + 1.9208 / t - 1.96 * sqrt((p * (1 - p) + 0.9604 / t) / t)) / (1 + 3.8416 / t), 6) AS DOUBLE) AS lo, CAST(round((p + 1.9208 / t + 1.96 * sqrt((p * (1 - p) + 0.9604 / t) / t)) / (1 + 3.8416 / t), 6) AS DOUBLE) AS hi
-FROM (SELECT suite, n, n / 400.0 AS p, CAST(400 AS DOUBLE) AS t FROM (SELECT suite, CAST(n AS DOUBLE) AS nn, n FROM g))""")
+@C.add("""WITH t AS (SELECT CAST(count(*) AS DOUBLE) AS t FROM eval_items), g AS (SELECT suite, count(*) AS n, count(*) / max(t.t) AS p, max(t.t) AS t FROM eval_items, t GROUP BY 1)
+SELECT suite, n, round((p + 1.9208 / t - 1.96 * sqrt((p * (1 - p) + 0.9604 / t) / t)) / (1 + 3.8416 / t), 6) AS lo, round((p + 1.9208 / t + 1.96 * sqrt((p * (1 - p) + 0.9604 / t) / t)) / (1 + 3.8416 / t), 6) AS hi, CAST(ceil(3.8416 * p * (1 - p) / 0.0025) AS BIGINT) AS required FROM g""")
 def wilson_interval(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "eval_items").groupBy("suite").agg(F.count("*").alias("n"))
-    p, t = F.col("n") / 400.0, F.lit(400.0)
+    """95% interval of each suite's share of all items, and the sample that would fix it to five points."""
+    e = table(spark, d, "eval_items")
+    g = e.groupBy("suite").agg(F.count("*").alias("n")).join(F.broadcast(e.agg(F.count("*").cast("double").alias("t"))))
+    p, t = F.col("n") / F.col("t"), F.col("t")
     half = 1.96 * F.sqrt((p * (1 - p) + 0.9604 / t) / t)
-    return g.select("suite", "n", F.round((p + 1.9208 / t - half) / (1 + 3.8416 / t), 6).alias("lo"), F.round((p + 1.9208 / t + half) / (1 + 3.8416 / t), 6).alias("hi"))
+    return g.select("suite", "n", F.round((p + 1.9208 / t - half) / (1 + 3.8416 / t), 6).alias("lo"), F.round((p + 1.9208 / t + half) / (1 + 3.8416 / t), 6).alias("hi"), F.ceil(3.8416 * p * (1 - p) / 0.0025).cast("long").alias("required"))
 
 
 # ------------------------------------------------------------- search and linkage
@@ -341,10 +361,14 @@ def graph_edge_families(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add(f"WITH {_EDGES} SELECT 'out' AS direction, type, dst AS node, count(*) AS n FROM ed WHERE src = 'VICTORIA LINDWELL' AND type <> 'LOCATED_IN' GROUP BY 2, 3 UNION ALL SELECT 'in', type, src, count(*) FROM ed WHERE dst = 'STA-H99334K-C-001' AND type <> 'LOCATED_IN' GROUP BY 2, 3")
 def graph_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    """One-hop neighbourhood in both directions over the allowed edge types."""
-    e = edges(spark, d).filter("type != 'LOCATED_IN'")
-    out = e.filter("src = 'VICTORIA LINDWELL'").select(F.lit("out").alias("direction"), "type", F.col("dst").alias("node"))
-    into = e.filter("dst = 'STA-H99334K-C-001'").select(F.lit("in").alias("direction"), "type", F.col("src").alias("node"))
+    return neighbors(edges(spark, d), "VICTORIA LINDWELL", "STA-H99334K-C-001")
+
+
+def neighbors(e: DataFrame, source: str, target: str, hidden: tuple[str, ...] = ("LOCATED_IN",)) -> DataFrame:
+    """One-hop neighbourhood: edges out of ``source`` and into ``target``, but for the hidden types."""
+    e = e.filter(~F.col("type").isin(*hidden))
+    out = e.filter(F.col("src") == source).select(F.lit("out").alias("direction"), "type", F.col("dst").alias("node"))
+    into = e.filter(F.col("dst") == target).select(F.lit("in").alias("direction"), "type", F.col("src").alias("node"))
     return out.unionByName(into).groupBy("direction", "type", "node").agg(F.count("*").alias("n"))
 
 
