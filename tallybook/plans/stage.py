@@ -1,7 +1,9 @@
 """Materialisation points: lineage is cut with tables written to the shared folder.
 
 The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-(tests, notebooks on one machine) a temporary folder of this process is used.
+(tests, notebooks on one machine) a temporary folder of this process is used. Tables lie
+under the application's id and are deleted when the driver ends; ``sweep`` deletes what
+drivers left that ended otherwise.
 """
 
 from __future__ import annotations
@@ -9,12 +11,14 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_MARKED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,13 +34,42 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+def _filesystem(spark: SparkSession, path: str):
+    """(file system, Path class) that hold a path."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop.Path
+
+
+def _run_folder(spark: SparkSession) -> str:
+    """The folder of this application's tables, deleted when the driver's JVM ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_folder(spark)}/tallybook/{app}"
+    if folder not in _MARKED:
+        fs, path = _filesystem(spark, folder)
+        fs.mkdirs(path(folder))
+        fs.deleteOnExit(path(folder))
+        _MARKED.add(folder)
+    return folder
+
+
+def sweep(spark: SparkSession, older_than_s: float) -> int:
+    """Delete the tables of other applications that were last written so many seconds ago; returns how many."""
+    root = f"{shared_folder(spark)}/tallybook"
+    fs, path = _filesystem(spark, root)
+    if not fs.exists(path(root)):
+        return 0
+    old = [s.getPath() for s in fs.listStatus(path(root)) if s.getModificationTime() / 1000 < time.time() - older_than_s and s.getPath().getName() != spark.sparkContext.applicationId]
+    return sum(bool(fs.delete(p, True)) for p in old)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the plan starts anew there.
 
     The written table outlives lost executors, unlike a local checkpoint.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tallybook/{name}-{uuid.uuid4().hex}"
+    path = f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,8 +13,9 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    s = SparkSession.builder.master("local[4]").config("spark.checkpoint.dir", f"file://{shared}").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
 

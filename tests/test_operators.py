@@ -74,3 +74,16 @@ def test_stream_matches_batch(spark, data, tmp_path):
     got = {(str(r["start"]), r["event_type"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(str(r["start"]), r["event_type"]): r["n"] for r in events.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n").collect()}
     assert got and all(want[k] == n for k, n in itertools.islice(got.items(), 1000))
+
+
+def test_intermediates_are_swept(spark, tmp_path):
+    from tallybook.plans import stage
+
+    written = stage.materialize(spark.range(3))
+    assert written.count() == 3
+    left = stage.shared_folder(spark).removeprefix("file://") + "/tallybook/app-long-gone/x"
+    import os
+
+    os.makedirs(left)
+    assert stage.sweep(spark, -1) == 1 and not os.path.exists(left) and written.count() == 3
+    assert stage.sweep(spark, 3600) == 0
