@@ -67,6 +67,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, d, "documents"))
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return tokenizer.texts_of(tokenizer.token_ids(table(spark, d, "documents")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -79,9 +84,10 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_classes, p5_found, p6_found, p6_fused, p6_decisions, p7_found, p7_matches, p7_reliability, p8_ids, p9_found, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_classes, p5_found, p6_found, p6_fused, p6_decisions, p7_found, p7_matches, p7_reliability, p8_ids, p8_decoded, p9_found, p10_found, p10_rates)}
 
 SQL = {
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_found": """
 WITH RECURSIVE link AS (
   SELECT DISTINCT lower(trim(absorbed_person_id)) AS a, lower(trim(canonical_person_id)) AS b FROM person_absorption

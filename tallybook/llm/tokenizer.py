@@ -2,9 +2,10 @@
 
 Each partition splits its texts into words with the tokenizer's pattern and encodes
 the distinct words in DuckDB: a recursive query holds token-position rows, joins
-neighbouring tokens with the merge table, contracts the leftmost pair of minimum rank
-of every word in each step and stops at the fixpoint; an ordered aggregation gives the
-words' ids, which are strung together per text. Words already seen by the worker are
+neighbouring tokens with the merge table, contracts the pair of minimum rank of every
+word, from the left, in each step and stops at the fixpoint; an ordered aggregation gives the
+words' ids, which are strung together per text. Decoding joins token rows with the
+vocabulary's bytes and strings them together by an ordered aggregation. Words already seen by the worker are
 remembered (a bounded memory of results, so nothing is dropped). Texts are never
 shuffled; the vocabulary is read from a path every worker has.
 
@@ -31,6 +32,8 @@ VOCABULARY, STEPS, REMEMBERED, PER_QUERY, MEMORY = "/opt/tokenizers/byte_bpe_50k
 # Fixed value: the published pre-tokenisation pattern of the vocabulary.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+# In a step every occurrence of the word's minimum-rank pair is contracted, from the left and without overlap: a pair with
+# the new token ranks after the merge that makes it, so one occurrence after the other would give the same tokens.
 _CONTRACT = """
 WITH RECURSIVE step(word, pos, tok, turn) AS (
   SELECT word, pos, tok, 0 FROM start
@@ -39,13 +42,16 @@ WITH RECURSIVE step(word, pos, tok, turn) AS (
   FROM (
     SELECT *, coalesce(lag(best) OVER (PARTITION BY word ORDER BY pos), false) AS eaten
     FROM (
-      SELECT *, coalesce(here = least_, false) AS best
+      SELECT *, hit AND row_number() OVER (PARTITION BY word, run, hit ORDER BY pos) % 2 = 1 AS best
       FROM (
-        SELECT s.*, m.merged, m.rank * 4294967296 + s.pos AS here, min(m.rank * 4294967296 + s.pos) OVER (PARTITION BY s.word) AS least_
-        FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next FROM step) s
-        LEFT JOIN merges m ON m.l = s.tok AND m.r = s.next
+        SELECT *, coalesce(rank = least_, false) AS hit, sum(CASE WHEN coalesce(rank = least_, false) THEN 0 ELSE 1 END) OVER (PARTITION BY word ORDER BY pos) AS run
+        FROM (
+          SELECT s.*, m.merged, m.rank, min(m.rank) OVER (PARTITION BY s.word) AS least_
+          FROM (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next FROM step) s
+          LEFT JOIN merges m ON m.l = s.tok AND m.r = s.next
+        )
+        WHERE least_ IS NOT NULL AND turn < {steps}
       )
-      WHERE least_ IS NOT NULL AND turn < {steps}
     )
   )
   WHERE NOT eaten
@@ -54,6 +60,7 @@ final AS (SELECT word, max(turn) AS turn FROM step GROUP BY word)
 SELECT s.word, list(s.tok ORDER BY s.pos) AS ids, any_value(s.turn) = {steps} AS more
 FROM step s JOIN final f ON s.word = f.word AND s.turn = f.turn GROUP BY s.word
 """
+_DECODE = "SELECT t.text, unhex(string_agg(p.hex, '' ORDER BY t.pos)) AS bytes FROM tokens t JOIN pieces p ON p.id = t.id GROUP BY t.text"
 
 
 def byte_letters() -> dict[int, str]:
@@ -75,6 +82,10 @@ class Encoder:
         table = pa.table({"l": pa.array([ids[a] for a, _ in merges], pa.int32()), "r": pa.array([ids[b] for _, b in merges], pa.int32()), "rank": pa.array(range(len(merges)), pa.int64()), "merged": pa.array([ids[a + b] for a, b in merges], pa.int32())})
         self.con.register("merge_rows", table)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
+        letter_of = {c: b for b, c in self.letters.items()}
+        pieces = [(i, bytes(letter_of[c] for c in t).hex()) for t, i in ids.items() if all(c in letter_of for c in t)]
+        self.con.register("piece_rows", pa.table({"id": pa.array([i for i, _ in pieces], pa.int32()), "hex": [h for _, h in pieces]}))
+        self.con.execute("CREATE TABLE pieces AS SELECT * FROM piece_rows")
         self.known: dict[str, list[int]] = {}
 
     def learn(self, fresh: list[str]) -> None:
@@ -110,11 +121,20 @@ class Encoder:
         known = self.known
         return [[i for w in s for i in known[w]] for s in split]
 
+    def decode_all(self, texts: list[list[int] | None]) -> list[str]:
+        """The text of each list of token ids; lists without ids are empty texts."""
+        size = [len(t or ()) for t in texts]
+        rows = pa.table({"text": np.repeat(np.arange(len(texts), dtype=np.int64), size), "pos": np.concatenate([np.arange(n, dtype=np.int64) for n in size] or [np.zeros(0, np.int64)]), "id": pa.array([i for t in texts for i in t or ()], pa.int32())})
+        self.con.register("tokens", rows)
+        out = [""] * len(texts)
+        for text, found in self.con.execute(_DECODE).fetchall():
+            out[text] = found.decode("utf-8", "replace")
+        self.con.unregister("tokens")
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of token ids."""
-        letter_of = {c: b for b, c in self.letters.items()}
-        name = {i: t for t, i in self.ids.items()}
-        return bytes(letter_of[c] for i in ids for c in name[i]).decode("utf-8", "replace")
+        return self.decode_all([ids])[0]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -142,3 +162,19 @@ def _mapper(path: str, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def token_ids(documents: DataFrame, path: str = VOCABULARY, rows: int = 2000) -> DataFrame:
     """(doc_id, ids) of every document."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_mapper(path, rows), "doc_id long, ids array<int>")
+
+
+def _decoder(path: str, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            for a in range(0, len(batch), rows):
+                part = batch.slice(a, rows)
+                yield pa.record_batch([part.column(0), pa.array(enc.decode_all(part.column(1).to_pylist()), pa.string())], ["doc_id", "text"])
+
+    return run
+
+
+def texts_of(ids: DataFrame, path: str = VOCABULARY, rows: int = 500) -> DataFrame:
+    """(doc_id, text) of encoded documents."""
+    return ids.select("doc_id", "ids").mapInArrow(_decoder(path, rows), "doc_id long, text string")
