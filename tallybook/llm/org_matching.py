@@ -68,28 +68,31 @@ def index_keys(segments: Column, attribute: Column) -> Column:
     return F.transform(pairs, lambda p: F.xxhash64(attribute, p["i"], p["j"], F.get(segments, p["i"]), F.get(segments, p["j"])))
 
 
-def _read_body(text: str, marks: list[str]) -> Name:
+def _read_body(text: str, marks: frozenset[str]) -> Name:
     """The name of a body; without legal form and known words it is still no person."""
-    read = read_name(text, frozenset(marks))
+    read = read_name(text, marks)
     if read.kind != "P":
         return read
     words = (read.readings[0][0], *read.readings[0][2:], *read.readings[0][1].split())
     return Name("O", read.form, (words, ("".join(w[0] for w in words),)))
 
 
-def _name_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, marks in zip(batch.column("name").to_pylist(), batch.column("marks").to_pylist()):
-            read = _read_body(text, marks)
-            if read.kind:
-                spelt = read.readings[1] if len(read.readings) > 1 else ()
-                words = list(read.readings[0])
-                rows.append((text, read.kind, read.form, words, list(spelt) if read.kind == "O" else words, encode(read.readings[0]), sorted({g for w in words for g in qgrams(w)})))
-        columns = list(zip(*rows)) if rows else [[]] * 7
-        texts = pa.list_(pa.string())
-        types = [pa.string(), pa.string(), pa.string(), texts, texts, pa.list_(pa.int32()), texts]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["name", "kind", "form", "words", "initials", "bits", "grams"])
+def _name_reader(vocabulary) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, marks in zip(batch.column("name").to_pylist(), batch.column("marks").to_pylist()):
+                read = _read_body(text, vocabulary.value or frozenset(marks))
+                if read.kind:
+                    spelt = read.readings[1] if len(read.readings) > 1 else ()
+                    words = list(read.readings[0])
+                    rows.append((text, read.kind, read.form, words, list(spelt) if read.kind == "O" else words, encode(read.readings[0]), sorted({g for w in words for g in qgrams(w)})))
+            columns = list(zip(*rows)) if rows else [[]] * 7
+            texts = pa.list_(pa.string())
+            types = [pa.string(), pa.string(), pa.string(), texts, texts, pa.list_(pa.int32()), texts]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["name", "kind", "form", "words", "initials", "bits", "grams"])
+
+    return run
 
 
 _NAME_ROW = "name string, kind string, form string, words array<string>, initials array<string>, bits array<int>, grams array<string>"
@@ -198,7 +201,8 @@ def scored_pairs(organization: DataFrame, address: DataFrame, political: DataFra
     towns = share_towns(cities[0].unionByName(cities[1]))
     orgs, filed = (materialize(t, "bodies") for t in bodies(organization, address, political, towns))
     texts = orgs.select(F.explode("names").alias("name")).unionByName(filed.select(F.explode("names").alias("name")))
-    read = materialize(with_org_words(texts).mapInArrow(_name_reader, _NAME_ROW), "names")
+    distinct, vocabulary = with_org_words(texts, texts.filter("name is not null").distinct())
+    read = materialize(distinct.mapInArrow(_name_reader(vocabulary), _NAME_ROW), "names")
     counted = read.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()  # at most 38 ** 3 padded trigrams
     counts = spark.sparkContext.broadcast((read.count(), {r["gram"]: r["n"] for r in counted}, uuid.uuid4().hex))
     # rows meet under a hash of body and name; whatever shares a hash is joined back and compared in full
