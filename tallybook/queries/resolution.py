@@ -285,3 +285,48 @@ def coverage_registry(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("feed_kind", F.when(F.col("d") >= 10, "tier_1").when(F.col("d") >= 5, "tier_2").otherwise("tier_3").alias("support")).agg(F.count("*").alias("sources"), F.sum("n").alias("rows_"))
 
 
+
+
+# ------------------------------------------------------------- boards and evaluation
+
+
+@C.add(f"""WITH {TX}, m AS (SELECT id AS member, upper(owner_name) AS n, owner_mail_state AS st FROM ownership WHERE owner_name IS NOT NULL AND valid_to IS NULL), k AS (SELECT upper(name) AS n, state AS st, sum(amount) AS raised, count(*) AS n_tx, count(DISTINCT series) AS sources, max(exported_on) AS as_of FROM tx WHERE name IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT m.member, m.n AS name, m.st AS state, coalesce(k.raised, 0) AS raised, coalesce(k.n_tx, 0) AS n_tx, coalesce(k.sources, 0) AS sources, k.as_of, k.n IS NOT NULL AS covered FROM m LEFT JOIN k ON k.n = m.n AND k.st IS NOT DISTINCT FROM m.st), r AS (SELECT *, row_number() OVER (ORDER BY raised DESC, name, member) AS k FROM b)
+SELECT CAST(k AS BIGINT) AS k, member, name, state, CAST(raised AS DOUBLE) AS raised, n_tx, sources, as_of, covered FROM r WHERE k <= 100""")
+def money_leaderboard(spark: SparkSession, d: str) -> DataFrame:
+    """Sitting members with their money and its provenance, all fetched by one join; the hundred highest."""
+    k = transactions(spark, d).filter("name is not null").groupBy(F.upper("name").alias("n"), F.col("state").alias("t")).agg(F.sum("amount").alias("a"), F.count("*").alias("c"), F.count_distinct("series").alias("s"), F.max("exported_on").alias("as_of"))
+    m = table(spark, d, "ownership").filter("owner_name is not null and valid_to is null").select(F.col("id").alias("member"), F.upper("owner_name").alias("name"), F.col("owner_mail_state").alias("state"))
+    j = m.join(k, (F.col("name") == F.col("n")) & F.col("state").eqNullSafe(F.col("t")), "left").select("member", "name", "state", F.coalesce("a", F.lit(0)).alias("raised"), F.coalesce("c", F.lit(0)).alias("n_tx"), F.coalesce("s", F.lit(0)).alias("sources"), "as_of", F.col("n").isNotNull().alias("covered"))
+    order = [F.desc("raised"), F.col("name"), F.col("member")]
+    top = j.orderBy(*order).limit(100)
+    return top.select(F.row_number().over(W.orderBy(*order)).cast("long").alias("k"), "member", "name", "state", F.col("raised").cast(X.MONEY).alias("raised"), "n_tx", "sources", "as_of", "covered")
+
+
+@C.add("""WITH c AS (SELECT er_cluster_id AS cluster, count(*) AS members, min(er_confidence) AS weakest, min(id) AS head FROM person WHERE er_cluster_id IS NOT NULL GROUP BY 1), x AS (SELECT cluster_id, count(*) AS decisions, count(DISTINCT merged_by) AS deciders FROM person_absorption WHERE cluster_id IS NOT NULL GROUP BY 1)
+SELECT c.cluster, c.members, c.weakest, p.canonical_name AS name, coalesce(x.decisions, 0) AS decisions, coalesce(x.deciders, 0) AS deciders FROM c JOIN person p ON p.id = c.head LEFT JOIN x ON x.cluster_id = c.cluster""")
+def er_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters with their head's name and the decisions behind them."""
+    p = table(spark, d, "person").filter("er_cluster_id is not null")
+    c = p.groupBy(F.col("er_cluster_id").alias("cluster")).agg(F.count("*").alias("members"), F.min("er_confidence").alias("weakest"), F.min(F.struct("id", "canonical_name"))["canonical_name"].alias("name"))
+    x = table(spark, d, "person_absorption").filter("cluster_id is not null").groupBy(F.col("cluster_id").alias("cluster")).agg(F.count("*").alias("decisions"), F.count_distinct("merged_by").alias("deciders"))
+    return c.join(x, "cluster", "left").select("cluster", "members", "weakest", "name", F.coalesce("decisions", F.lit(0)).alias("decisions"), F.coalesce("deciders", F.lit(0)).alias("deciders"))
+
+
+@C.add("""WITH s AS (SELECT er_confidence AS p, er_cluster_id IS NOT NULL AS hit FROM person WHERE er_confidence IS NOT NULL), t(cut) AS (VALUES (0.5), (0.6), (0.7), (0.8), (0.9), (0.95)) SELECT CAST(cut AS DOUBLE) AS cut, count(*) FILTER (WHERE p >= cut AND hit) AS true_positive, count(*) FILTER (WHERE p >= cut AND NOT hit) AS false_positive, count(*) FILTER (WHERE p < cut AND hit) AS false_negative,
+ round(CAST(count(*) FILTER (WHERE p >= cut AND hit) AS DOUBLE) / nullif(count(*) FILTER (WHERE p >= cut), 0), 6) AS precision_ FROM s, t GROUP BY cut""")
+def threshold_tuning(spark: SparkSession, d: str) -> DataFrame:
+    """Outcome at each candidate threshold, all thresholds in one pass."""
+    cuts = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
+    p, hit = F.col("er_confidence"), F.col("er_cluster_id").isNotNull()
+    s = table(spark, d, "person").filter("er_confidence is not null")
+    one = s.agg(F.array(*[F.struct(F.lit(c).alias("cut"), F.count(F.when((p >= c) & hit, 1)).alias("true_positive"), F.count(F.when((p >= c) & ~hit, 1)).alias("false_positive"), F.count(F.when((p < c) & hit, 1)).alias("false_negative")) for c in cuts]).alias("t"))
+    t = one.select(F.inline("t"))
+    return t.select("*", F.round(F.col("true_positive") / F.nullif(F.col("true_positive") + F.col("false_positive"), F.lit(0)), 6).alias("precision_"))
+
+
+@C.add(f"""WITH {TX} SELECT id, name, state FROM tx WHERE kind = 'Individual' AND name IS NOT NULL AND NOT regexp_matches(upper(name), '^(AGGREGATED|UNITEMIZED|ANONYMOUS)') AND regexp_matches(name, '[A-Za-z].*[A-Za-z]') AND coalesce(amount, 0) > 0""")
+def donors_worth_resolving(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose donor can be resolved at all."""
+    t = transactions(spark, d).filter((F.col("kind") == "Individual") & (F.coalesce("amount", F.lit(0)) > 0) & F.col("name").isNotNull())
+    return t.filter(~F.upper("name").rlike("^(AGGREGATED|UNITEMIZED|ANONYMOUS)") & F.col("name").rlike("[A-Za-z].*[A-Za-z]")).select("id", "name", "state")
