@@ -17,6 +17,7 @@ table gives no steps; repeated rows count as rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,7 @@ PRESENT, FITS = 10, 10
 #: Slots of the value-set sketch.
 SLOTS = 16
 #: Mapping rows up to which the routing rules are broadcast.
-RULE_ROWS = 100_000
+RULE_ROWS = 20_000
 EXPORT_FIELDS = ("transction_type", "transaction_type", "account_code", "declaration")
 TYPES = ("whole", "decimal", "date", "flag", "text")
 _WHOLE = r"^[+-]?(\d+|\d{1,3}(,\d{3})+)$"
@@ -202,9 +203,14 @@ def _steps_of_feed(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in _STEP.split(", ")], dtype=object)
 
 
+def _by_feed(df: DataFrame) -> DataFrame:
+    """Feeds spread over all shuffle partitions: they are few rows, but each costs Python time, so they are not coalesced."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "origin", "feed")
+
+
 def migration_steps(source: DataFrame, exports: DataFrame) -> DataFrame:
     """Every step with its layout version; change 'keep' lists the layout itself."""
-    return layouts(source, exports).groupBy("origin", "feed").applyInPandas(_steps_of_feed, _STEP)
+    return _by_feed(layouts(source, exports)).groupBy("origin", "feed").applyInPandas(_steps_of_feed, _STEP)
 
 
 def found(source: DataFrame, exports: DataFrame) -> DataFrame:
@@ -231,9 +237,12 @@ def _rules_of_feed(frame: pd.DataFrame) -> pd.DataFrame:
         part = parts[day]
         own = set(part.loc[part["change"] == "keep", "field"])
         per_day[day] = {f: newest.get(f, f) for f in own}
+        used = Counter(per_day[day].values())
         for f, to in sorted(per_day[day].items()):  # no two fields of a delivery share a name
-            if f != to and (to in own and per_day[day][to] == to or [*per_day[day].values()].count(to) > 1):
+            if f != to and (to in own and per_day[day][to] == to or used[to] > 1):
                 per_day[day][f] = f
+                used[to] -= 1
+                used[f] += 1
         for f, to in per_day[day].items():
             known.setdefault(f, to)
         back = {r.new_field: r.field for r in part.itertuples() if r.change == "renamed"}
@@ -269,7 +278,7 @@ def cast_value(v: Column, kind: Column) -> Column:
 
 def routing_rules(source: DataFrame, exports: DataFrame) -> DataFrame:
     """Rules per delivery of the feeds of both origins."""
-    return migration_steps(source, exports).groupBy("origin", "feed").applyInPandas(_rules_of_feed, _RULES)
+    return _by_feed(migration_steps(source, exports)).groupBy("origin", "feed").applyInPandas(_rules_of_feed, _RULES)
 
 
 def _raw(source: DataFrame, exports: DataFrame) -> DataFrame:
