@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,3 +103,33 @@ def same_district(mine: Column, theirs: Column) -> Column:
     """At-large districts are written AL, 00 or not at all; an unknown district of mine fits any."""
     large = lambda c: F.when(c.isNull() | c.isin("AL", "00", "0"), "AL").otherwise(F.lpad(c, 2, "0"))
     return mine.isNull() | (large(mine) == large(theirs))
+
+
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def nfc(c: Column) -> Column:
+    """Composed form of a text; pure ASCII never leaves the JVM's hands changed."""
+    return F.pandas_udf(_nfc, "string")(c)
+
+
+#: Legal endings of employers and what stands for none.
+LEGAL_ENDINGS = ("INC", "LLC", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LLP", "LP")
+NO_EMPLOYER = ("", "N A", "NA", "NONE", "UNKNOWN", "REQUESTED", "INFORMATION REQUESTED", "BEST EFFORTS")
+
+
+def employer(composed: Column) -> Column:
+    """Employer from composed text: upper case, punctuation to blanks, one legal ending dropped, placeholders null."""
+    v = F.trim(F.regexp_replace(F.regexp_replace(F.upper(composed), r"[^\p{L}\p{N}&]", " "), " +", " "))
+    v = F.regexp_replace(v, r"\bL L C\b", "LLC")
+    return F.when(~v.isin(*NO_EMPLOYER), F.regexp_replace(v, f" ({'|'.join(LEGAL_ENDINGS)})$", ""))
+
+
+def override_threshold(given: float | None, default: float = 0.8) -> float:
+    """A match threshold: the default, or a finite override above 0.8 and up to 1."""
+    if given is None:
+        return default
+    if not 0.8 < given <= 1:
+        raise ValueError(f"threshold {given} is not in (0.8, 1]")
+    return float(given)

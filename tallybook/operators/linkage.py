@@ -18,8 +18,8 @@ from tallybook.plans.stage import materialize
 
 #: Prior of a match, turns of expectation maximisation, floor of probabilities (documented defaults).
 PRIOR, TURNS, FLOOR = 0.01, 20, 1e-4
-#: Rows of a part of a hot block.
-BLOCK = 250
+#: Rows of a part of a hot block; random pairs that show chance agreement (a documented bound of the sample).
+BLOCK, SAMPLE = 250, 200_000
 
 
 def blocked_pairs(rows: DataFrame, rules: dict[str, list[str]], rid: str = "id") -> DataFrame:
@@ -54,11 +54,32 @@ def block_sizes(rows: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y), out)
 
 
-def train_strata(patterns: list[tuple[str, tuple[int, ...], int]], levels: list[int]) -> tuple[dict[str, float], list[list[float]], list[list[float]]]:
-    """Prior of each stratum, m and u of each field's levels by expectation maximisation over pattern counts."""
+def random_pairs(rows: DataFrame, rid: str = "id", pairs: int = SAMPLE) -> DataFrame:
+    """(a_*, b_*): about ``pairs`` pairs of different rows drawn by hash, the same on every run.
+
+    Each side draws a bucket of its own; rows of one bucket meet, so no row meets many others.
+    """
+    n = rows.count()
+    buckets = max(1, n * n // (2 * max(pairs, 1)))
+    a, b = (rows.select(F.pmod(F.xxhash64(F.col(rid), F.lit(seed)), F.lit(buckets)).alias("bucket"), *[F.col(c).alias(f"{s}_{c}") for c in rows.columns]) for seed, s in ((1, "a"), (2, "b")))
+    return a.join(b, "bucket").filter(F.col(f"a_{rid}") < F.col(f"b_{rid}")).drop("bucket")
+
+
+def sampled_u(compared: DataFrame, fields: list[str], levels: list[int]) -> list[list[float]]:
+    """u of each field's levels from compared random pairs: how often rows agree by chance; missing values (-1) do not count."""
+    counts = compared.agg(*[F.count(F.when(F.col(f) == k, 1)).alias(f"{f}_{k}") for f, n in zip(fields, levels) for k in range(n)]).first()
+    out = []
+    for f, n in zip(fields, levels):
+        seen = [counts[f"{f}_{k}"] for k in range(n)]
+        out.append([max((c + FLOOR) / (sum(seen) + n * FLOOR), FLOOR) for c in seen])
+    return out
+
+
+def train_strata(patterns: list[tuple[str, tuple[int, ...], int]], levels: list[int], u_known: list[list[float]] | None = None) -> tuple[dict[str, float], list[list[float]], list[list[float]]]:
+    """Prior of each stratum, m and u of each field's levels by expectation maximisation over pattern counts; a known u stays."""
     priors = {s: PRIOR for s, _, _ in patterns}
     m = [[(k + 1) / sum(range(1, n + 1)) for k in range(n)] for n in levels]
-    u = [[(n - k) / sum(range(1, n + 1)) for k in range(n)] for n in levels]
+    u = [list(x) for x in u_known] if u_known else [[(n - k) / sum(range(1, n + 1)) for k in range(n)] for n in levels]
     for _ in range(TURNS):
         weights = []
         for s, g, c in patterns:
@@ -73,7 +94,8 @@ def train_strata(patterns: list[tuple[str, tuple[int, ...], int]], levels: list[
                 hit = [(c, w) for _, g, c, w in weights if g[f] == k]
                 seen = [(c, w) for _, g, c, w in weights if g[f] >= 0]
                 m[f][k] = max(sum(c * w for c, w in hit) / max(sum(c * w for c, w in seen), FLOOR), FLOOR)
-                u[f][k] = max(sum(c * (1 - w) for c, w in hit) / max(sum(c * (1 - w) for c, w in seen), FLOOR), FLOOR)
+                if not u_known:
+                    u[f][k] = max(sum(c * (1 - w) for c, w in hit) / max(sum(c * (1 - w) for c, w in seen), FLOOR), FLOOR)
     return priors, m, u
 
 
@@ -83,7 +105,7 @@ def train(patterns: list[tuple[tuple[int, ...], int]], levels: list[int]) -> tup
     return priors.get("", PRIOR), m, u
 
 
-def score(compared: DataFrame, fields: list[str], levels: list[int], fixed: dict[str, list[str]] | None = None) -> DataFrame:
+def score(compared: DataFrame, fields: list[str], levels: list[int], fixed: dict[str, list[str]] | None = None, u_known: list[list[float]] | None = None) -> DataFrame:
     """Adds ``probability`` to pairs with one comparison level (-1: missing) per field.
 
     With ``fixed``, the fields each blocking rule fixes, pairs that met the same ``rules``
@@ -96,7 +118,7 @@ def score(compared: DataFrame, fields: list[str], levels: list[int], fixed: dict
     counted = compared.groupBy(stratum.alias("stratum"), *fields).agg(F.count("*").alias("c")).collect()  # at most the product of the levels, by stratum
     if not counted:
         return compared.withColumn("probability", F.lit(0.0))
-    priors, m, u = train_strata([(r["stratum"], tuple(r[f] for f in fields), r["c"]) for r in counted], levels)
+    priors, m, u = train_strata([(r["stratum"], tuple(r[f] for f in fields), r["c"]) for r in counted], levels, u_known)
     weight: Column = F.lit(0.0)
     for s, prior in priors.items():
         weight = F.when(stratum == s, math.log(prior / (1 - prior))).otherwise(weight)
@@ -127,3 +149,14 @@ def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
         if not changed:
             return labels
     raise RuntimeError("components did not converge")
+
+
+def weakest_links(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(component, members, confidence, l, r): each component with its least sure decision.
+
+    ``pairs`` are (l, r, probability) inside the components ``found`` (id, component); the
+    minimum is combined before the shuffle, so a giant component costs one row per task.
+    """
+    weak = pairs.join(found, F.col("l") == F.col("id")).groupBy("component").agg(F.min(F.struct("probability", "l", "r")).alias("w"))
+    size = found.groupBy("component").agg(F.count("*").alias("members"))
+    return size.join(weak, "component").select("component", "members", F.col("w.probability").alias("confidence"), "w.l", "w.r")

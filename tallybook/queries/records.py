@@ -307,18 +307,28 @@ def blocking_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return linkage.block_sizes(_donors(spark, d), _RULES)
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    j = linkage.blocked_pairs(_donors(spark, d), _RULES)
-    jw = similarity.jaro_winkler("a_n", "b_n")
+_LEVELS = {"name_level": 3, "employer_level": 2, "surname_level": 2}
+
+
+def _compared(pairs: DataFrame, *keep: str) -> DataFrame:
+    """Comparison levels of pairs of donors (-1: missing)."""
     agree = lambda c: F.when(F.col(f"a_{c}").isNull() | F.col(f"b_{c}").isNull(), -1).when(F.col(f"a_{c}") == F.col(f"b_{c}"), 1).otherwise(0)
-    compared = j.withColumn("jw", jw).select("l", "r", "rule", "rules", F.when(F.col("jw") >= 0.97, 2).when(F.col("jw") >= 0.9, 1).otherwise(0).alias("name_level"), agree("employer").alias("employer_level"), agree("surname").alias("surname_level"))
+    name = F.when(F.col("jw") >= 0.97, 2).when(F.col("jw") >= 0.9, 1).otherwise(0)
+    return pairs.withColumn("jw", similarity.jaro_winkler("a_n", "b_n")).select(*keep, name.alias("name_level"), agree("employer").alias("employer_level"), agree("surname").alias("surname_level"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    donors = _donors(spark, d)
+    names, levels = list(_LEVELS), list(_LEVELS.values())
+    chance = linkage.sampled_u(_compared(linkage.random_pairs(donors)), names, levels)
     # compared once, then counted and scored
-    return linkage.score(materialize(compared, "compared"), ["name_level", "employer_level", "surname_level"], [3, 2, 2], {"name_state": ["surname_level"], "employer_zip": ["employer_level"]})
+    compared = materialize(_compared(linkage.blocked_pairs(donors, _RULES), "l", "r", "rule", "rules"), "compared")
+    return linkage.score(compared, names, levels, {"name_state": ["surname_level"], "employer_zip": ["employer_level"]}, chance)
 
 
 @C.add()
 def linkage_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of donors blocked by every rule of _RULES, compared, trained and classified."""
+    """Pairs of donors blocked by every rule of _RULES, compared, trained (u from random pairs, m and priors by EM) and classified."""
     return _scored(spark, d).select("l", "r", "rule", F.round("probability", 6).alias("probability"), linkage.classify(F.col("probability")).alias("decision"))
 
 
@@ -336,6 +346,18 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return linkage.components(o.join(first, ["k", "z"]).filter("id != l").select("l", F.col("id").alias("r")))
 
 
+@C.add("""WITH RECURSIVE b AS (SELECT id, upper(owner_name) AS k, owner_mail_zip5 AS z, upper(owner_mail_city) AS town FROM ownership WHERE owner_name IS NOT NULL AND owner_mail_zip5 IS NOT NULL), f AS (SELECT k, z, min(id) AS l FROM b GROUP BY 1, 2),
+p AS (SELECT f.l, b.id AS r, CASE WHEN b.town IS NOT DISTINCT FROM h.town THEN 0.97 ELSE 0.85 END AS probability FROM b JOIN f USING (k, z) JOIN b h ON h.id = f.l WHERE b.id <> f.l), e AS (SELECT l, r FROM p UNION SELECT r, l FROM p), reach(id, seen) AS (SELECT l, l FROM e UNION SELECT reach.id, e.r FROM reach JOIN e ON e.l = reach.seen),
+c AS (SELECT id, min(seen) AS component FROM reach GROUP BY id), w AS (SELECT c.component, p.*, row_number() OVER (PARTITION BY c.component ORDER BY p.probability, p.l, p.r) AS k FROM p JOIN c ON c.id = p.l) SELECT w.component, (SELECT count(*) FROM c WHERE c.component = w.component) AS members, CAST(w.probability AS DOUBLE) AS confidence, w.l, w.r FROM w WHERE k = 1""")
+def component_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Components with the least sure of their decisions: owners of one name and ZIP, less sure where the towns differ."""
+    o = table(spark, d, "ownership").filter("owner_name is not null and owner_mail_zip5 is not null").select("id", F.upper("owner_name").alias("k"), F.col("owner_mail_zip5").alias("z"), F.upper("owner_mail_city").alias("town"))
+    first = o.groupBy("k", "z").agg(F.min(F.struct("id", "town")).alias("h"))
+    pairs = o.join(first, ["k", "z"]).filter("id != h.id").select(F.col("h.id").alias("l"), F.col("id").alias("r"), F.when(F.col("town").eqNullSafe(F.col("h.town")), 0.97).otherwise(0.85).alias("probability"))
+    pairs = materialize(pairs, "decisions")
+    return linkage.weakest_links(linkage.components(pairs.select("l", "r")), pairs)
+
+
 # ------------------------------------------------------------- graph
 
 _FAMILY = "CASE WHEN kind IN ('Operating Exp', 'Coord Party Exp', 'Refund') THEN 'SPENT_ON' ELSE 'CONTRIBUTED_TO' END"

@@ -51,6 +51,16 @@ def addresses_parsed(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.col("export_row_id").alias("id"), N.address_parts(F.col("street_line_1"), F.col("state"), F.col("zip_code")).alias("p")).select("id", "p.*")
 
 
+@C.add(f"""WITH {TX}, v AS (SELECT regexp_replace(trim(regexp_replace(regexp_replace(upper(nfc_normalize(employer)), '[^\\p{{L}}\\p{{N}}&]', ' ', 'g'), ' +', ' ', 'g'), ' '), '\\bL L C\\b', 'LLC', 'g') AS v FROM tx WHERE employer IS NOT NULL)
+SELECT regexp_replace(v, ' (INC|LLC|CORP|CORPORATION|CO|COMPANY|LTD|LLP|LP)$', '') AS employer, count(*) AS n FROM v WHERE v NOT IN ('', 'N A', 'NA', 'NONE', 'UNKNOWN', 'REQUESTED', 'INFORMATION REQUESTED', 'BEST EFFORTS') GROUP BY 1""")
+def employers_composed(spark: SparkSession, d: str) -> DataFrame:
+    """Employers in composed Unicode and canonical spelling; only different texts with letters beyond ASCII pass through Python."""
+    t = transactions(spark, d).filter("employer is not null").groupBy("employer").agg(F.count("*").alias("n"))
+    plain = F.col("employer").rlike(r"^\p{ASCII}*$")
+    both = t.filter(plain).unionByName(t.filter(~plain).select(N.nfc(F.col("employer")).alias("employer"), "n"))
+    return both.groupBy(N.employer(F.col("employer")).alias("employer")).agg(F.sum("n").alias("n")).filter("employer is not null")
+
+
 def _industry(c: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(upper({c}), '{p}') THEN '{n}'" for p, n in N.INDUSTRIES) + " END"
 

@@ -43,3 +43,33 @@ def test_a_fixed_field_is_no_evidence():
     patterns = [("s", (0, 0, -1), 90000), ("s", (0, 1, -1), 700), ("s", (1, 1, -1), 700), ("s", (1, 0, -1), 200), ("z", (0, 0, 0), 1600), ("z", (1, 1, 1), 580), ("e", (0, -1, 0), 4000), ("e", (1, -1, 1), 60)]
     priors, m, u = linkage.train_strata(patterns, [2, 2, 2])
     assert priors["s"] < 0.03 < priors["z"] and all(x[1] > y[1] for x, y in zip(m, u))
+
+
+def test_chance_agreement_from_random_pairs(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(f"r{i:04}", i % 4, None if i % 10 == 0 else "x") for i in range(400)], "id string, color int, note string")
+    pairs = linkage.random_pairs(rows, pairs=20_000)
+    assert 15_000 < pairs.count() < 25_000 and pairs.select("a_id", "b_id").distinct().count() == pairs.count()
+    level = lambda c: F.when(F.col(f"a_{c}").isNull() | F.col(f"b_{c}").isNull(), -1).when(F.col(f"a_{c}") == F.col(f"b_{c}"), 1).otherwise(0).alias(c)
+    u = linkage.sampled_u(pairs.select(level("color"), level("note")), ["color", "note"], [2, 2])
+    assert abs(u[0][1] - 0.25) < 0.03 and u[1][1] > 0.99 and all(abs(sum(x) - 1) < 0.01 for x in u)
+    priors, m, known = linkage.train_strata([("s", (1, 1), 50), ("s", (0, 1), 950)], [2, 2], u)
+    assert known == u and 0 < priors["s"] < 1 and len(m) == 2
+
+
+def test_weakest_links(spark):
+    pairs = spark.createDataFrame([("a", "b", 0.99), ("b", "c", 0.96), ("d", "e", 0.97)], "l string, r string, probability double")
+    got = {tuple(r) for r in linkage.weakest_links(linkage.components(pairs), pairs).collect()}
+    assert got == {("a", 3, 0.96, "b", "c"), ("d", 2, 0.97, "d", "e")}
+
+
+def test_threshold_override():
+    import pytest
+
+    from tallybook.functions.normalize import override_threshold
+
+    assert override_threshold(None) == 0.8 and override_threshold(0.9) == 0.9 and override_threshold(1) == 1
+    for bad in (0.8, 1.01, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            override_threshold(bad)
