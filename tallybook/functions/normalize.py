@@ -133,3 +133,10 @@ def override_threshold(given: float | None, default: float = 0.8) -> float:
     if not 0.8 < given <= 1:
         raise ValueError(f"threshold {given} is not in (0.8, 1]")
     return float(given)
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """Name-based identifier (version 5): the same name always gives the same UUID."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.substr(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))

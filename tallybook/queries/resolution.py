@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallybook.functions import finance as X
+from tallybook.functions import normalize as N
 from tallybook.plans.stage import table
 from tallybook.queries.registry import Catalogue
 from tallybook.queries.texts import TODAY
@@ -32,6 +33,18 @@ def donor_identities(spark: SparkSession, d: str) -> DataFrame:
     return transactions(spark, d).filter("name is not null").groupBy(*six).agg(F.count("*").alias("n")).withColumn("identity", X.donor_key(*[F.col(c) for c in six]))
 
 
+#: Namespace of the donors' identifiers (any fixed UUID).
+_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+
+
+@C.add(f"""WITH {TX}, n AS (SELECT concat_ws(chr(31), upper(name), coalesce(zip5, ''), coalesce(upper(employer), '')) AS k, count(*) AS n FROM tx WHERE name IS NOT NULL GROUP BY 1), h AS (SELECT n, sha1(from_hex('{_NAMESPACE.replace("-", "")}') || encode(k)) AS h FROM n)
+SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS donor_id, n FROM h""")
+def donor_uuids(spark: SparkSession, d: str) -> DataFrame:
+    """Donors under name-based UUIDs of their normalised fields."""
+    key = F.concat_ws("\x1f", F.upper("name"), F.coalesce("zip5", F.lit("")), F.coalesce(F.upper("employer"), F.lit("")))
+    return transactions(spark, d).filter("name is not null").groupBy(key.alias("k")).agg(F.count("*").alias("n")).select(N.uuid5(_NAMESPACE, F.col("k")).alias("donor_id"), "n")
+
+
 @C.add("""WITH p AS (SELECT id, name_variants FROM person), v AS (SELECT id, unnest(list_distinct(name_variants)) AS variant FROM p), w AS (SELECT *, count(*) OVER (PARTITION BY id) AS c, row_number() OVER (PARTITION BY id ORDER BY variant) AS k FROM v WHERE variant IS NOT NULL) SELECT CASE WHEN c > 1 THEN id || '__splink_row__' || k ELSE id END AS row_id, id, variant FROM w""")
 def er_rows(spark: SparkSession, d: str) -> DataFrame:
     """One row per spelling; entities of several rows get row ids of their own."""

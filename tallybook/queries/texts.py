@@ -65,7 +65,7 @@ def _industry(c: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(upper({c}), '{p}') THEN '{n}'" for p, n in N.INDUSTRIES) + " END"
 
 
-@C.add(f"""WITH {TX} SELECT coalesce({_industry("employer")}, {_industry("occupation")}) AS industry, CASE WHEN upper(trim(employer, ' ')) IN ('N/A', 'NONE', 'UNKNOWN', 'RETIRED', 'SELF', 'SELF-EMPLOYED', 'NOT EMPLOYED', '') THEN 0.01 ELSE 1.0 END AS weight, count(*) AS n, count(DISTINCT employer) AS employers FROM tx GROUP BY 1, 2""")
+@C.add(f"""WITH {TX} SELECT coalesce({_industry("employer")}, {_industry("occupation")}) AS industry, CASE WHEN upper(trim(employer, ' ')) IN ('N/A', 'NONE', 'UNKNOWN', 'RETIRED', 'SELF', 'SELF-EMPLOYED', 'NOT EMPLOYED', '') THEN CAST(0.01 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS weight, count(*) AS n, count(DISTINCT employer) AS employers FROM tx GROUP BY 1, 2""")
 def industries(spark: SparkSession, d: str) -> DataFrame:
     """Industry by employer with the occupation as fallback, and the weight of the evidence."""
     return transactions(spark, d).groupBy(N.industry(F.col("employer"), F.col("occupation")).alias("industry"), N.junk_weight(F.col("employer")).alias("weight")).agg(F.count("*").alias("n"), F.count_distinct("employer").alias("employers"))
@@ -238,7 +238,7 @@ def bulk_lines_read(spark: SparkSession, d: str) -> DataFrame:
     good = n.select(F.concat(F.col("n_nationkey").cast("string"), F.lit("| "), "n_name", F.lit(" |"), F.col("n_regionkey").cast("string"), F.lit("|")).alias("value"))
     bad = n.select(F.concat(F.lit("x|"), "n_name").alias("value"))
     read, _ = delimited.parse_lines(good.unionByName(bad), delimited.Layout(("n_nationkey", "n_name", "n_regionkey"), trailing_delimiter=True))
-    return read.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey"))
+    return read.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
 
 
 @C.add("""SELECT 'C' AS kind, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer UNION ALL SELECT 'S', count(*), CAST(sum(s_suppkey) AS BIGINT) FROM supplier UNION ALL SELECT 'rejected', count(*), 0 FROM nation""")

@@ -87,3 +87,16 @@ def test_intermediates_are_swept(spark, tmp_path):
     os.makedirs(left)
     assert stage.sweep(spark, -1) == 1 and not os.path.exists(left) and written.count() == 3
     assert stage.sweep(spark, 3600) == 0
+
+
+def test_name_based_uuids(spark):
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from tallybook.functions.normalize import uuid5
+
+    space = uuid.NAMESPACE_DNS
+    names = ["", "Ann Lee", "ñandú", "x" * 5000]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", uuid5(str(space), F.col("n")).alias("u")).collect()
+    assert {r["n"]: r["u"] for r in rows} == {n: str(uuid.uuid5(space, n)) for n in names}
