@@ -201,7 +201,9 @@ def scored_pairs(organization: DataFrame, address: DataFrame, political: DataFra
     towns = share_towns(cities[0].unionByName(cities[1]))
     orgs, filed = (materialize(t, "bodies") for t in bodies(organization, address, political, towns))
     texts = orgs.select(F.explode("names").alias("name")).unionByName(filed.select(F.explode("names").alias("name")))
-    distinct, vocabulary = with_org_words(texts, texts.filter("name is not null").distinct())
+    # few bytes, but each name costs Python time: partitions of names are not coalesced
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct, vocabulary = with_org_words(texts, texts.filter("name is not null").repartition(spread, "name").distinct())
     read = materialize(distinct.mapInArrow(_name_reader(vocabulary), _NAME_ROW), "names")
     counted = read.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()  # at most 38 ** 3 padded trigrams
     counts = spark.sparkContext.broadcast((read.count(), {r["gram"]: r["n"] for r in counted}, uuid.uuid4().hex))
