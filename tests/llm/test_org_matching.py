@@ -1,7 +1,9 @@
 import datetime as dt
 import random
 
+from tallybook.llm import name_matching
 from tallybook.llm import org_matching as O
+from tallybook.plans.stage import materialize
 
 ORG = "id string, canonical_name string, name_variants array<string>, identifiers map<string,string>, registered_state string, formation_date date, primary_address_id string, names string"
 FILED = "id string, name string, ein string, established_date date, mailing_address_1 string, mailing_address_2 string, mailing_address_city string, mailing_address_state string, mailing_address_zip string, business_address_1 string, business_address_2 string, business_address_city string, business_address_state string, business_address_zip string, date date"
@@ -60,3 +62,19 @@ def test_matches(spark):
 
 def test_empty(spark):
     assert O.matches(*(t.limit(0) for t in _tables(spark))).count() == 0
+
+
+def test_no_table_passes_through_the_driver(spark, monkeypatch):
+    """Joins of tables that grow with the input shuffle, whatever size Spark guesses from their files."""
+    plans = []
+
+    def kept(df, name="stage"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    for module in (O, name_matching):
+        monkeypatch.setattr(module, "materialize", kept)
+    monkeypatch.setattr(O, "with_org_words", lambda names, rows: name_matching.with_org_words(names, rows, limit=-1))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1_000_000
+    assert O.matches(*_tables(spark)).count() == 3
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
