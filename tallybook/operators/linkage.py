@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallybook.plans.stage import materialize
+from tallybook.plans.stage import materialize, shuffled
 
 #: Prior of a match, turns of expectation maximisation, floor of probabilities (documented defaults).
 PRIOR, TURNS, FLOOR = 0.01, 20, 1e-4
@@ -23,7 +23,7 @@ BLOCK, SAMPLE = 250, 200_000
 
 
 def blocked_pairs(rows: DataFrame, rules: dict[str, list[str]], rid: str = "id") -> DataFrame:
-    """(l, r, rule, rules, a_*, b_*): pairs that agree on all columns of a rule, once, with the first rule that made them.
+    """(l, r, rule, rules, stratum, a_*, b_*): pairs that agree on all columns of a rule, once, with the first rule that made them.
 
     ``rid`` is unique. The columns of both sides come along, so earlier rules are read
     from the pair itself and pairs are never shuffled. Blocks of more than ``BLOCK``
@@ -33,14 +33,16 @@ def blocked_pairs(rows: DataFrame, rules: dict[str, list[str]], rid: str = "id")
     side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in df.columns])
     agree = lambda columns: reduce(lambda x, y: x & y, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in columns])
     all_rules = F.array_sort(F.array_compact(F.array(*[F.when(agree(columns), name) for name, columns in rules.items()])))
+    stratum = F.concat_ws(" ", *[F.when(agree(columns), name) for name, columns in sorted(rules.items())])
     earlier = F.lit(False)
     for name, columns in rules.items():
         parts = F.ceil(F.count("*").over(W.partitionBy(*columns)) / BLOCK).cast("int")
         block = rows.na.drop(subset=columns).withColumn("parts", parts)
         a = side(block.withColumn("part", F.pmod(F.xxhash64(rid), "parts").cast("int")).drop("parts"), "a")
         b = side(block.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"), "b")
-        pairs = a.join(b, agree([*columns, "part"]) & (F.col(f"a_{rid}") < F.col(f"b_{rid}"))).filter(~earlier).drop("a_part", "b_part")
-        made.append(pairs.select(F.col(f"a_{rid}").alias("l"), F.col(f"b_{rid}").alias("r"), F.lit(name).alias("rule"), all_rules.alias("rules"), "*"))
+        # parts of a block are even: a broadcast side would leave them to few tasks and pass through the driver
+        pairs = a.join(shuffled(b), agree([*columns, "part"]) & (F.col(f"a_{rid}") < F.col(f"b_{rid}"))).filter(~earlier).drop("a_part", "b_part")
+        made.append(pairs.select(F.col(f"a_{rid}").alias("l"), F.col(f"b_{rid}").alias("r"), F.lit(name).alias("rule"), all_rules.alias("rules"), stratum.alias("stratum"), "*"))
         earlier = earlier | F.coalesce(agree(columns), F.lit(False))
     return reduce(lambda x, y: x.unionByName(y), made)
 
@@ -105,29 +107,22 @@ def train(patterns: list[tuple[tuple[int, ...], int]], levels: list[int]) -> tup
     return priors.get("", PRIOR), m, u
 
 
-def score(compared: DataFrame, fields: list[str], levels: list[int], fixed: dict[str, list[str]] | None = None, u_known: list[list[float]] | None = None) -> DataFrame:
-    """Adds ``probability`` to pairs with one comparison level (-1: missing) per field.
+def pattern_probabilities(counted: list[tuple[str, tuple[int, ...], int]], levels: list[int], fixed: dict[str, list[int]], u_known: list[list[float]] | None = None) -> list[tuple[str, tuple[int, ...], float]]:
+    """(stratum, pattern, probability) of counted patterns of comparison levels (-1: missing), one level per field.
 
-    With ``fixed``, the fields each blocking rule fixes, pairs that met the same ``rules``
-    are a stratum with a prior of its own; a field fixed there says nothing and counts as missing.
+    A stratum is the rules that pairs met, parted by blanks, and has a prior of its own; a
+    field that one of its rules fixes (by number in ``fixed``) says nothing and counts as missing.
     """
-    stratum = F.concat_ws(" ", "rules") if fixed else F.lit("")
-    for rule, names in (fixed or {}).items():
-        for name in names:
-            compared = compared.withColumn(name, F.when(F.array_contains("rules", rule), -1).otherwise(F.col(name)))
-    counted = compared.groupBy(stratum.alias("stratum"), *fields).agg(F.count("*").alias("c")).collect()  # at most the product of the levels, by stratum
-    if not counted:
-        return compared.withColumn("probability", F.lit(0.0))
-    priors, m, u = train_strata([(r["stratum"], tuple(r[f] for f in fields), r["c"]) for r in counted], levels, u_known)
-    weight: Column = F.lit(0.0)
-    for s, prior in priors.items():
-        weight = F.when(stratum == s, math.log(prior / (1 - prior))).otherwise(weight)
-    for f, name in enumerate(fields):
-        w: Column = F.lit(0.0)
-        for k in range(levels[f]):
-            w = F.when(F.col(name) == k, math.log(m[f][k] / u[f][k])).otherwise(w)
-        weight = weight + w
-    return compared.withColumn("probability", 1 / (1 + F.exp(-weight)))
+    known = lambda s, g: tuple(-1 if any(f in fixed.get(rule, []) for rule in s.split(" ")) else k for f, k in enumerate(g))
+    merged: dict[tuple[str, tuple[int, ...]], int] = {}
+    for s, g, c in sorted(counted):
+        merged[s, known(s, g)] = merged.get((s, known(s, g)), 0) + c
+    priors, m, u = train_strata([(s, g, c) for (s, g), c in merged.items()], levels, u_known)
+    out = []
+    for s, g, _ in counted:
+        weight = math.log(priors[s] / (1 - priors[s])) + sum(math.log(m[f][k] / u[f][k]) for f, k in enumerate(known(s, g)) if k >= 0)
+        out.append((s, g, 1 / (1 + math.exp(-weight))))
+    return out
 
 
 def classify(p: Column) -> Column:

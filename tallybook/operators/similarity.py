@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,3 +57,47 @@ def _jaro_winkler_batch(a: pd.Series, b: pd.Series) -> pd.Series:
 def jaro_winkler(a: str | Column, b: str | Column) -> Column:
     """Jaro-Winkler similarity of two text columns, in Arrow batches."""
     return F.pandas_udf(_jaro_winkler_batch, "double")(a, b)
+
+
+#: Bits of the letters A to Z (so many occurrences each) and of all other characters together; what rounding may take from a bound.
+REPEATS, OTHERS, ROUNDING = 4, 24, 1e-9
+
+
+def letters_of(text: str) -> tuple[int, int, int, int, int]:
+    """(low, high, spare, size, start): bits of a text's characters, how many of them have no bit of their own, length, first four."""
+    bits, seen = 0, Counter()
+    for c in text:
+        k, seen[c] = seen[c], seen[c] + 1
+        if "A" <= c <= "Z":
+            bits |= (1 << (ord(c) - 65) * REPEATS + k) if k < REPEATS else 0
+        else:
+            bits |= 1 << 26 * REPEATS + (7 * ord(c) + k) % OTHERS
+    start = 0
+    for c in text[:4].ljust(4, "\0"):
+        start = start << 16 | ord(c) & 0xFFFF
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return signed(bits & (1 << 64) - 1), signed(bits >> 64), len(text) - bits.bit_count(), len(text), signed(start)
+
+
+def _letters_batch(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([letters_of(x) if x is not None else (None,) * 5 for x in texts], columns=["low", "high", "spare", "size", "start"], dtype=object).astype("Int64")
+
+
+def letters(c: str | Column) -> Column:
+    """Struct of ``letters_of`` a text column, for ``jaro_winkler_bound``."""
+    return F.pandas_udf(_letters_batch, "low long, high long, spare long, size long, start long")(c)
+
+
+def jaro_winkler_bound(a: str, b: str) -> Column:
+    """What the Jaro-Winkler similarity of two texts does not exceed, from their ``letters``, in the JVM; null where a text is.
+
+    No more characters match than the texts share, whatever their order.
+    """
+    x, y = (lambda k: F.col(f"{a}.{k}")), (lambda k: F.col(f"{b}.{k}"))
+    shared = F.bit_count(x("low").bitwiseAND(y("low"))) + F.bit_count(x("high").bitwiseAND(y("high"))) + F.least(x("spare"), y("spare"))
+    jaro = F.when(x("size") + y("size") == 0, 1.0).otherwise(F.least((shared / F.greatest(x("size"), F.lit(1)) + shared / F.greatest(y("size"), F.lit(1)) + 1) / 3, F.lit(1.0)))
+    apart = x("start").bitwiseXOR(y("start"))
+    same = F.when(apart == 0, 4)
+    for n in (3, 2, 1):
+        same = same.when(F.shiftrightunsigned(apart, 64 - 16 * n) == 0, n)
+    return F.when(apart.isNotNull(), jaro + 0.1 * same.otherwise(0) * (1 - jaro) + ROUNDING)

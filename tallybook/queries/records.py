@@ -310,20 +310,40 @@ def blocking_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 _LEVELS = {"name_level": 3, "employer_level": 2, "surname_level": 2}
 
 
-def _compared(pairs: DataFrame, *keep: str) -> DataFrame:
-    """Comparison levels of pairs of donors (-1: missing)."""
+#: Jaro-Winkler similarities from which names reach a level.
+_ALIKE = {1: 0.9, 2: 0.97}
+
+
+def _compared(pairs: DataFrame, near: bool) -> DataFrame:
+    """Pairs of donors with comparison levels (-1: missing): those whose names may be alike, else those whose cannot, which Python never sees."""
     agree = lambda c: F.when(F.col(f"a_{c}").isNull() | F.col(f"b_{c}").isNull(), -1).when(F.col(f"a_{c}") == F.col(f"b_{c}"), 1).otherwise(0)
-    name = F.when(F.col("jw") >= 0.97, 2).when(F.col("jw") >= 0.9, 1).otherwise(0)
-    return pairs.withColumn("jw", similarity.jaro_winkler("a_n", "b_n")).select(*keep, name.alias("name_level"), agree("employer").alias("employer_level"), agree("surname").alias("surname_level"))
+    maybe = F.coalesce(similarity.jaro_winkler_bound("a_letters", "b_letters") >= _ALIKE[1], F.lit(False))
+    name = F.when(F.col("jw") >= _ALIKE[2], 2).when(F.col("jw") >= _ALIKE[1], 1).otherwise(0) if near else F.lit(0)
+    kept = pairs.filter(maybe).withColumn("jw", similarity.jaro_winkler("a_n", "b_n")) if near else pairs.filter(~maybe)
+    return kept.withColumns({"name_level": name, "employer_level": agree("employer"), "surname_level": agree("surname")})
 
 
-def _scored(spark: SparkSession, d: str) -> DataFrame:
-    donors = _donors(spark, d)
+def _scored(spark: SparkSession, d: str, least: float = 0.0) -> DataFrame:
+    """(l, r, rule, probability) of the blocked pairs of at least ``least`` probability.
+
+    Every pair is compared and counted. Pairs of names that cannot be alike, nearly all, are
+    made anew instead of written, and only where one of their patterns can reach ``least``.
+    """
+    donors = materialize(_donors(spark, d).withColumn("letters", similarity.letters("n")), "donors")
     names, levels = list(_LEVELS), list(_LEVELS.values())
-    chance = linkage.sampled_u(_compared(linkage.random_pairs(donors)), names, levels)
-    # compared once, then counted and scored
-    compared = materialize(_compared(linkage.blocked_pairs(donors, _RULES), "l", "r", "rule", "rules"), "compared")
-    return linkage.score(compared, names, levels, {"name_state": ["surname_level"], "employer_zip": ["employer_level"]}, chance)
+    chance = linkage.random_pairs(donors)
+    u = linkage.sampled_u(_compared(chance, True).select(*names).unionByName(_compared(chance, False).select(*names)), names, levels)
+    pairs = linkage.blocked_pairs(donors, _RULES)
+    columns = ["l", "r", "rule", "stratum", *names]
+    near, far = materialize(_compared(pairs, True).select(*columns), "compared"), _compared(pairs, False).select(*columns)
+    # at most the product of the levels, by stratum
+    counted = near.select("stratum", *names).unionByName(far.select("stratum", *names)).groupBy("stratum", *names).agg(F.count("*").alias("c")).collect()
+    fixed = {rule: [names.index(f)] for rule, f in (("name_state", "surname_level"), ("employer_zip", "employer_level"))}
+    found = linkage.pattern_probabilities([(r["stratum"], tuple(r[f] for f in names), r["c"]) for r in counted], levels, fixed, u)
+    rated = [(s, *g, p) for s, g, p in found if p >= least]
+    known = F.broadcast(spark.createDataFrame(rated, f"stratum string, {', '.join(f'{f} int' for f in names)}, probability double"))
+    whole = near.unionByName(far) if any(g[0] == 0 for _, g, p in found if p >= least) else near
+    return whole.join(known, ["stratum", *names]).select("l", "r", "rule", "probability")
 
 
 @C.add()
@@ -335,7 +355,7 @@ def linkage_decisions(spark: SparkSession, d: str) -> DataFrame:
 @C.add()
 def linkage_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Components over the matches, each with its canonical member (smallest id)."""
-    return linkage.components(_scored(spark, d).filter("probability >= 0.95"))
+    return linkage.components(_scored(spark, d, least=0.95))
 
 
 @C.add("""WITH RECURSIVE e AS (SELECT DISTINCT a.id AS l, b.id AS r FROM ownership a JOIN ownership b ON upper(a.owner_name) = upper(b.owner_name) AND a.owner_mail_zip5 = b.owner_mail_zip5 AND a.id <> b.id), reach(id, seen) AS (SELECT l, l FROM e UNION SELECT reach.id, e.r FROM reach JOIN e ON e.l = reach.seen) SELECT id, min(seen) AS component FROM reach GROUP BY id""")

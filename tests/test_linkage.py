@@ -1,6 +1,6 @@
 import random
 
-from tallybook.operators import linkage
+from tallybook.operators import linkage, similarity
 from tallybook.queries import records
 
 DONORS = "id string, contributor_name_raw string, contributor_state string, zip5 string, contributor_employer string"
@@ -73,3 +73,29 @@ def test_threshold_override():
     for bad in (0.8, 1.01, float("nan"), float("inf")):
         with pytest.raises(ValueError):
             override_threshold(bad)
+
+
+def test_names_that_cannot_be_alike_are_not_compared(spark, tmp_path, monkeypatch):
+    """The bound never falls below the similarity, and of a large block only names above it are compared."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    words = ["ANN", "ANNA", "ÉVA-LU", "BOB", "STONE", "MISSISSIPPI", "O'NEIL", "P.A.C.", "\U0001f600", "7TH", "COMMITTEE", "", " "]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(60)]
+    rows = [(a, b) for a in texts for b in [*texts, a[::-1], a[1:], a[:3] + "X" + a[3:], None]]
+    frame = spark.createDataFrame(rows, "a string, b string").withColumn("x", similarity.letters("a")).withColumn("y", similarity.letters("b"))
+    got = frame.withColumn("bound", similarity.jaro_winkler_bound("x", "y")).select("a", "b", "bound").collect()
+    assert all(r["bound"] is None if r["b"] is None else r["bound"] >= similarity.jaro_winkler_of(r["a"], r["b"]) for r in got)
+    assert any(r["bound"] is not None and r["bound"] < 0.9 for r in got)
+    donors = [(f"o{i:03}", f"{''.join(rng.sample('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 9))} JR" if i % 20 else f"GWENDOLYN HARTWELL{i} JR", "IN", f"4{i % 40:04}", f"FIRM {i % 23}") for i in range(200)]
+    spark.createDataFrame(donors, DONORS).write.parquet(str(tmp_path / "donor_er_view.parquet"))
+    asked = spark.sparkContext.accumulator(0)
+    one = similarity._jaro_winkler_batch
+
+    def counting(a, b):
+        asked.add(len(a))
+        return one(a, b)
+
+    monkeypatch.setattr(similarity, "jaro_winkler", lambda a, b: F.pandas_udf(lambda x, y: counting(x, y), "double")(a, b))
+    made = records._scored(spark, str(tmp_path)).count()
+    assert made > 19_000 and asked.value < made / 10
